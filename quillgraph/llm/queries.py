@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.linedup import duplicate_lines
 from quillgraph.llm.quality import QUALITY_SQL, quality_lines
+from quillgraph.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,18 @@ def op1_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_lines": op1_quality_lines,
+    "op3_line_dedup": op3_line_dedup,
+    "op8_simhash_pairs": op8_simhash_pairs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_lines": QUALITY_SQL}

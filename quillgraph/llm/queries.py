@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.decontam import contaminated
 from quillgraph.llm.linedup import duplicate_lines
+from quillgraph.llm.packing import best_fit_packing
 from quillgraph.llm.quality import QUALITY_SQL, quality_lines
 from quillgraph.llm.simhash import near_duplicates
 
@@ -23,14 +25,24 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_lines(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_lines": op1_quality_lines,
     "op3_line_dedup": op3_line_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op8_simhash_pairs": op8_simhash_pairs,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_lines": QUALITY_SQL}

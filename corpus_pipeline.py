@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.decontam import drop_contaminated
+from quillgraph.llm.linedup import drop_duplicate_lines
+from quillgraph.llm.packing import best_fit_packing
 from quillgraph.llm.quality import quality_lines
+from quillgraph.llm.simhash import drop_near_duplicates
 from quillgraph.storage import stored
 
 #: SQL can't express edit joins, fingerprints or packing; tests/llm compares the stages with brute force.
@@ -12,10 +16,37 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go; so do documents that lose too much text."""
     return quality_lines(docs).select(docs.columns)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go; so do documents of which nothing is left."""
+    return drop_duplicate_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-copy group stays."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become bins of at most 2048 words."""
+    return best_fit_packing(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.decontam import contaminated
+from quillgraph.llm.licenses import license_spans
 from quillgraph.llm.linedup import duplicate_lines
 from quillgraph.llm.packing import best_fit_packing
 from quillgraph.llm.quality import QUALITY_SQL, quality_lines
 from quillgraph.llm.simhash import near_duplicates
+from quillgraph.llm.toxicity import toxic_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +23,18 @@ def op1_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_spans(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_lines(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +49,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_lines": op1_quality_lines,
+    "op2_license_spans": op2_license_spans,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxic_segments": op4_toxic_segments,
     "op5_decontaminate": op5_decontaminate,
     "op8_simhash_pairs": op8_simhash_pairs,
     "op10_best_fit_packing": op10_best_fit_packing,

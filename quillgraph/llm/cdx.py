@@ -67,7 +67,8 @@ def _runs(batches: Iterator[pa.RecordBatch], run_rows: int) -> Iterator[pa.Recor
 
 
 def _run(batches: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(batches).sort_by(_SORT)
+    table = pa.Table.from_batches(batches)
+    table = table.take(pc.sort_indices(table, sort_keys=_SORT, null_placement="at_start"))
     yield from table.append_column("run", pa.array([number] * len(table), pa.int64())).to_batches(1 << 14)
 
 
@@ -179,7 +180,7 @@ def capture_index(pages: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """(urlkey, ts, page_id, digest, length, capture_no, revisit, position): all captures in global order.
 
     capture_no counts the captures of one urlkey from 1; revisit tells that the capture before has the same digest; position is the
-    place in the whole index, from 1. Order is by urlkey, ts, page_id, digest and length, in that order, so ties are of equal rows only.
+    place in the whole index, from 1. Order is by urlkey, ts, page_id, digest and length, nulls first, so ties are of equal rows only.
 
     Rows without url or page_id are left out; a null body has a null digest, which is never a revisit. Repeated rows are captures of their own. An
     empty table gives an empty result; other columns are not read.
@@ -223,8 +224,8 @@ WITH parts AS (
   SELECT urlkey, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST((page_id * {STEP_SECONDS}) % {YEAR_SECONDS} AS BIGINT)), '%Y%m%d%H%M%S') AS ts,
          page_id, md5(html) AS digest, CAST(strlen(html) AS BIGINT) AS length FROM keyed
 )
-SELECT *, row_number() OVER (PARTITION BY urlkey ORDER BY ts, page_id, digest, length) AS capture_no,
-       coalesce(lag(digest) OVER (PARTITION BY urlkey ORDER BY ts, page_id, digest, length) = digest, false) AS revisit,
-       row_number() OVER (ORDER BY urlkey, ts, page_id, digest, length) AS position
+SELECT *, row_number() OVER (PARTITION BY urlkey ORDER BY ts, page_id, digest NULLS FIRST, length NULLS FIRST) AS capture_no,
+       coalesce(lag(digest) OVER (PARTITION BY urlkey ORDER BY ts, page_id, digest NULLS FIRST, length NULLS FIRST) = digest, false) AS revisit,
+       row_number() OVER (ORDER BY urlkey, ts, page_id, digest NULLS FIRST, length NULLS FIRST) AS position
 FROM lines
 """

@@ -102,7 +102,7 @@ def _pack_group(table: pa.Table, capacity: int) -> pa.Table:
     offsets = pa.array(np.concatenate([np.flatnonzero(np.diff(place, prepend=-1)), [len(place)]]).astype(np.int32))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (ids[doc], start, size)]
     used = np.bincount(place, size).astype(np.int64)
-    return pa.table([pa.array([f"{group}-{k}" for k in range(len(used))]), pa.array(used), *lists], ["bin", "used", "doc_ids", "starts", "lengths"])
+    return pa.table([pa.array([f"{group}-{k}" for k in range(len(used))], pa.string()), pa.array(used), *lists], ["bin", "used", "doc_ids", "starts", "lengths"])
 
 
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:

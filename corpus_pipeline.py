@@ -9,6 +9,7 @@ from quillgraph.llm.linedup import drop_duplicate_lines
 from quillgraph.llm.packing import best_fit_packing
 from quillgraph.llm.quality import quality_lines
 from quillgraph.llm.simhash import drop_near_duplicates
+from quillgraph.session import shipped
 from quillgraph.storage import stored
 
 #: SQL can't express edit joins, fingerprints or packing; tests/llm compares the stages with brute force.
@@ -41,11 +42,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("near dedup", near_dedup),
-    ("benchmark decontamination", decontamination),
-    ("best-fit packing", packing),
+    ("quality rules", shipped(quality_rules)),
+    ("line dedup", shipped(line_dedup)),
+    ("near dedup", shipped(near_dedup)),
+    ("benchmark decontamination", shipped(decontamination)),
+    ("best-fit packing", shipped(packing)),
 ]
 
 

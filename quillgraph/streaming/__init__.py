@@ -1,0 +1 @@
+"""No operator of this engine works on streams; new examples are loaded in batches, and only changed texts are embedded again."""

@@ -94,7 +94,7 @@ def fold_descriptions(ordered: Column) -> Column:
 def normalize_answer(c: Column | str) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces; null counts as empty."""
     plain = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), PUNCTUATION, "")
-    return collapse(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "))
+    return collapse(F.regexp_replace(plain, r"(?U)\b(?:the|an?)\b", " "))
 
 
 def tokens(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ import hashlib
 import math
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol, TypeVar
 
 import pandas as pd
@@ -28,7 +28,7 @@ class Extractor(Protocol):
 
 
 class Embedder(Protocol):
-    def embed(self, text: str) -> list[float]: ...
+    def embed(self, text: str) -> Sequence[float]: ...
 
 
 class QuestionEntities(Protocol):
@@ -78,7 +78,7 @@ class StubEmbedder:
     def __init__(self, size: int = 64):
         self.size = size
 
-    def embed(self, text: str) -> list[float]:
+    def embed(self, text: str) -> Sequence[float]:
         out = [0.0] * self.size
         for word in re.findall(r"\w+", text.lower()):
             h = hashlib.sha256(word.encode()).digest()

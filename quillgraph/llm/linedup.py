@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillgraph.llm.textkit import U64, Lines, Prefix, mix, signed, slices, text_column
@@ -31,6 +30,9 @@ MIN_CHARS = 20
 BROADCAST_KEYS = 4_000_000
 
 
+_BIT = U64(1) << np.arange(64, dtype=U64)
+
+
 def _flips(tau: int) -> int:
     """Sketch bits that tau edits can flip: an edit removes up to two character pairs and adds up to two."""
     return 4 * tau
@@ -42,8 +44,10 @@ def _eligible(lines: Lines, min_chars: int) -> np.ndarray:
 
 def _sketch(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """XOR over the line's adjacent character pairs of one bit each, chosen by hash."""
-    pair = mix(codes[:-1].astype(U64) * U64(0x1000003) + codes[1:].astype(U64)) & U64(63)
-    bits = np.concatenate([[U64(0)], np.bitwise_xor.accumulate(U64(1) << pair)]) if len(codes) > 1 else np.zeros(1, U64)
+    pair = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(26)
+    bits = np.zeros(max(1, len(codes)), U64)
+    if len(pair):
+        np.bitwise_xor.accumulate(_BIT[pair], out=bits[1:])
     return bits[end - 1] ^ bits[start]
 
 

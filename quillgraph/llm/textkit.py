@@ -17,13 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
 
 _rng = np.random.default_rng(20240229)
+_POINT_CODE = _rng.integers(1, 1 << 63, 1 << 16, dtype=U64) | U64(1)
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=U64) | U64(1)
 
 #: Bytes that belong to a word: ASCII letters and digits, and all bytes of non-ASCII characters.
@@ -161,7 +162,12 @@ class Lines:
         self.length = self.end - self.start
 
     def coded(self) -> np.ndarray:
-        return mix(self.codes.astype(U64) + U64(0x51ED270B))
+        """A random 64-bit code for every code point of the basic plane; the planes above shift it."""
+        out = _POINT_CODE[self.codes & np.uint32(0xFFFF)]
+        above = np.flatnonzero(self.codes >> np.uint32(16))
+        if len(above):
+            out[above] += (self.codes[above] >> np.uint32(16)).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
+        return out
 
     def text(self, i: int) -> str:
         return self.codes[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "surrogatepass")

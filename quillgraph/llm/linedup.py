@@ -3,9 +3,9 @@
 Two lines are alike when their edit distance is at most TAU. A line is cut into TAU + 1 even segments; if
 another line lies within TAU edits, one of these segments occurs in it unchanged, at a place that the two lengths
 confine to a few positions. So each line writes TAU + 1 index rows and a fixed number of probe rows (12 for TAU = 2),
-and one equi-join on (segment number, indexed length, segment content) finds every candidate. Rows carry a 64-bit
-parity sketch of the line's character pairs: an edit flips few of its bits, so most false candidates end inside the
-join, without their texts. The rest are verified with a banded bit-parallel edit distance.
+and bringing together equal (segment number, indexed length, segment content) finds every candidate: one shuffle by
+their hash, a sort, and a merge over the sorted runs. Rows carry a 64-bit parity sketch of the line's character pairs: an edit flips
+few of its bits, so most false candidates end inside the merge, without their texts. The rest are verified with a banded bit-parallel edit distance.
 
 Alike lines are linked transitively; of each group the first occurrence, by (doc_id, line number), stays.
 """
@@ -88,7 +88,13 @@ def _probe_rows(prefix: Prefix, start: np.ndarray, length: np.ndarray, tau: int,
 KEY_SCHEMA = "key bigint, line bigint, sketch bigint"
 
 
-def _keys(batches: Iterator[pa.RecordBatch], probe: bool, tau: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+def _names(prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Keys of lines: hashes whose lowest bit is free, to tell probe rows from index rows."""
+    return prefix.of(start, end) & ~U64(1)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], tau: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+    """Index and probe rows of all lines, each line once a batch; the lowest bit of line marks probe rows."""
     for batch in batches:
         col = text_column(batch)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -99,18 +105,65 @@ def _keys(batches: Iterator[pa.RecordBatch], probe: bool, tau: int, min_chars: i
                 continue
             start, end, length = lines.start[at], lines.end[at], lines.length[at]
             prefix = Prefix(lines.coded())
-            name, sketch = prefix.of(start, end), _sketch(lines.codes, start, end)
+            name, sketch = _names(prefix, start, end), _sketch(lines.codes, start, end)
             name, once = np.unique(name, return_index=True)
             start, length, sketch = start[once], length[once], sketch[once]
-            rows = _probe_rows(prefix, start, length, tau, min_chars) if probe else _index_rows(prefix, start, length, tau)
-            for line, key in rows:
-                parts.append((key, name[line], sketch[line]))
+            for probe, rows in ((U64(0), _index_rows(prefix, start, length, tau)), (U64(1), _probe_rows(prefix, start, length, tau, min_chars))):
+                parts += [(key, name[line] | probe, sketch[line]) for line, key in rows]
         if parts:
             key, name, sketch = (np.concatenate(x) for x in zip(*parts))
             order = np.unique(mix(key) ^ name, return_index=True)[1]
             yield pa.RecordBatch.from_arrays([signed(key[order]), signed(name[order]), signed(sketch[order])], ["key", "line", "sketch"])
 
 
+def _met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, flips: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of whole runs of equal keys: every index row with every probe row of another line, if their sketches are near."""
+
+    def runs(key: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+    if not len(key):
+        return
+    heads, name = runs(key), line & ~U64(1)
+    size = np.diff(np.append(heads, len(key)))
+    probes = np.add.reduceat((line & U64(1)).astype(np.int64), heads)
+    live = (np.minimum.reduceat(name, heads) != np.maximum.reduceat(name, heads)) & (probes > 0) & (probes < size)
+    at = np.flatnonzero(np.repeat(live, size))
+    if not len(at):
+        return
+    at = at[np.sort(np.unique(mix(key[at]) ^ line[at], return_index=True)[1])]  # a line comes once a batch, not once in all
+    key, line, sketch = key[at], line[at], sketch[at]
+    heads = runs(key)
+    run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
+    order = np.lexsort((line & U64(1), run))
+    line, sketch, run = line[order], sketch[order], run[order]
+    probe = np.flatnonzero(line & U64(1))
+    n_index = np.bincount(run[(line & U64(1)) == 0], minlength=len(heads))
+    count = n_index[run[probe]]
+    before = np.cumsum(count) - count
+    for lo in range(0, len(probe), 1 << 14):
+        own = slice(lo, lo + (1 << 14))
+        p = np.repeat(probe[own], count[own])
+        i = np.repeat(heads[run[probe[own]]] - (before[own] - before[lo]), count[own]) + np.arange(len(p))
+        a, b = line[p] & ~U64(1), line[i]
+        good = (np.bitwise_count(sketch[p] ^ sketch[i]) <= flips) & (a != b)
+        a, b = a[good].view(np.int64), b[good].view(np.int64)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], flips: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows sorted by key; the last run of a batch waits for the next."""
+    held = [np.zeros(0, U64)] * 3
+    for batch in batches:
+        rows = [np.concatenate([h, batch.column(c).to_numpy().view(U64)]) for h, c in zip(held, ("key", "line", "sketch"))]
+        other = np.flatnonzero(rows[0] != rows[0][-1]) if len(rows[0]) else []
+        cut_at = int(other[-1]) + 1 if len(other) else 0
+        held = [r[cut_at:] for r in rows]
+        yield from _met(*(r[:cut_at] for r in rows), flips)
+    yield from _met(*held, flips)
+
+
 def _places(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col, ids = text_column(batch), batch.column(batch.schema.get_field_index("doc_id"))
@@ -118,7 +171,7 @@ def _places(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Re
             lines = Lines(col.slice(a, b - a))
             at = _eligible(lines, min_chars)
             if len(at):
-                name = Prefix(lines.coded()).of(lines.start[at], lines.end[at])
+                name = _names(Prefix(lines.coded()), lines.start[at], lines.end[at])
                 yield pa.RecordBatch.from_arrays(
                     [signed(name), ids.take(pa.array(lines.row[at] + a)).cast(pa.int64()), pa.array(lines.number[at].astype(np.int32))], ["line", "doc_id", "line_no"]
                 )
@@ -134,7 +187,7 @@ def _texts(batches: Iterator[pa.RecordBatch], min_chars: int, wanted) -> Iterato
             at = _eligible(lines, min_chars)
             if not len(at):
                 continue
-            name, once = np.unique(Prefix(lines.coded()).of(lines.start[at], lines.end[at]), return_index=True)
+            name, once = np.unique(_names(Prefix(lines.coded()), lines.start[at], lines.end[at]), return_index=True)
             if keys is not None:
                 if not len(keys):
                     continue
@@ -239,19 +292,9 @@ def similar_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     """(a, b): keys of all pairs of different lines of at least min_chars characters within tau edits, a < b, each once."""
     texts = _usable(docs).select("text")
 
-    def rows(probe: bool) -> DataFrame:
-        found = texts.mapInArrow(lambda it: _keys(it, probe, tau, min_chars), KEY_SCHEMA)
-        # Partitioned by key alone, which serves the removal of repeats and the join with one shuffle.
-        return found.repartition("key").dropDuplicates(["key", "line"])
-
-    index = rows(False)
-    probe = rows(True).select("key", F.col("line").alias("other"), F.col("sketch").alias("other_sketch"))
-    candidates = cut(
-        index.join(probe, "key")
-        .where((F.col("line") != F.col("other")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= _flips(tau)))
-        .select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b"))
-        .distinct()
-    )
+    rows = texts.mapInArrow(lambda it: _keys(it, tau, min_chars), KEY_SCHEMA)
+    # One shuffle by key and a sort bring an indexed segment and its probes together; nearly all runs end there.
+    candidates = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _meet(it, _flips(tau)), VERIFIED_SCHEMA).distinct())
     keys = candidates.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     n = keys.count()
     if n <= BROADCAST_KEYS:

@@ -4,10 +4,10 @@ Bytes are predicted bit by bit: each of the 255 inner nodes of the byte's binary
 0 to DEPTH bytes. Every context estimates the bit by Krichevsky and Trofimov; the weighting mixes the estimates of all depths, each
 context with its longer ones, by how well they code the corpus. A document's score is its code length per byte under this mixture.
 
-The corpus enters as counts of (DEPTH + 1)-grams, gathered from all documents with a combiner in every task. Below the root, the trees fall apart
-by the last context byte, so they are built in 256 independent groups; only the roots' 255 sums meet on the driver. All bits
-of a position depend on its gram alone, so the model ends as one code length per gram. That table has at most 2**32 rows whatever
-the corpus; up to BROADCAST_GRAMS it is sent to the executors and looked up in place, beyond that it is joined with the documents' gram counts.
+The corpus enters as counts of (DEPTH + 1)-grams, gathered from all documents with a combiner in every task. From depth 2 on, the trees fall
+apart by the last two context bytes, so they are built in GROUPS independent groups of these; only sums by last context byte meet on the driver,
+255 for each at most. All bits of a position depend on its gram alone, so the model ends as one code length per gram. Up to
+BROADCAST_GRAMS that table is sent to the executors and looked up in place, beyond that it is joined with the documents' gram counts.
 """
 
 from __future__ import annotations
@@ -18,37 +18,52 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillgraph.llm.textkit import raw, slices, text_column
+from quillgraph.llm.textkit import mix, raw, slices, text_column
 from quillgraph.storage import cut
 
-#: Longest context, in bytes; at most 3.
-DEPTH = 3
-BROADCAST_GRAMS = 16_000_000
+#: Longest context, in bytes; at most MAX_DEPTH, where a gram still fits a positive bigint.
+DEPTH = 5
+MAX_DEPTH = 6
+#: Groups of contexts by their last two bytes; one group's trees are in memory at once.
+GROUPS = 512
+#: Grams that a worker holds before it sums them and passes them on.
+COUNTED = 1 << 19
+#: Most grams in a table that is sent out; a worker's copy takes up to 68 bytes for each.
+BROADCAST_GRAMS = 4_000_000
 
 _LOG2 = np.log(2.0)
 
 
 def gram_codes(data: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
     """For every byte, itself and its depth predecessors in one number, the byte lowest; before a row's start stand zeros."""
-    code = data.astype(np.uint32)
+    code = data.astype(np.uint64)
     firsts = off[:-1]
     for s in range(1, depth + 1):
-        before = np.zeros(len(data), np.uint32)
+        before = np.zeros(len(data), np.uint64)
         before[s:] = data[:-s]
         for j in range(s):
             before[(firsts + j)[firsts + j < len(data)]] = 0
-        code |= before << np.uint32(8 * s)
+        code |= before << np.uint64(8 * s)
     return code
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    codes, n = (np.concatenate(x) for x in zip(*parts))
+    gram, at = np.unique(codes, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(np.bincount(at, n, len(gram)).astype(np.int64))], ["gram", "n"])
+
+
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         col = text_column(batch)
-        parts = [np.unique(gram_codes(*raw(col.slice(a, b - a)), depth), return_counts=True) for a, b in slices(col)]
-        if parts:
-            codes, n = (np.concatenate(x) for x in zip(*parts))
-            gram, at = np.unique(codes, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(np.bincount(at, n, len(gram)).astype(np.int64))], ["gram", "n"])
+        for a, b in slices(col):
+            parts.append(np.unique(gram_codes(*raw(col.slice(a, b - a)), depth), return_counts=True))
+            if sum(len(codes) for codes, _ in parts) > COUNTED:
+                yield _summed(parts)
+                parts = []
+    if parts:
+        yield _summed(parts)
 
 
 _LANCZOS = (676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
@@ -69,13 +84,18 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
+def shorter(keys: np.ndarray, d: int) -> np.ndarray:
+    """Keys with only the last d bytes of their contexts."""
+    return ((keys >> 8) & ((1 << (8 * d)) - 1)) * 256 + (keys & 255)
+
+
 class Trees:
-    """The context trees over some grams with one last context byte, from the leaves up to depth 1.
+    """The context trees over all grams of some last context bytes, from the leaves up to depth base.
 
     Level 0 of the lists is the deepest. A key is context * 256 + bit node.
     """
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int):
+    def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int, base: int):
         byte = (gram & 255).astype(np.int64)
         context = (gram >> 8).astype(np.int64)
         k = np.arange(8)
@@ -89,8 +109,8 @@ class Trees:
         self.keys, self.zeros, self.ones = [keys], [zeros], [ones]
         self.log_kt = [log_kt(zeros, ones)]
         self.log_weighted = [self.log_kt[0]]
-        for d in range(depth - 1, 0, -1):
-            keys, at = np.unique(((keys >> 8) & ((1 << (8 * d)) - 1)) * 256 + (keys & 255), return_inverse=True)
+        for d in range(depth - 1, base - 1, -1):
+            keys, at = np.unique(shorter(keys, d), return_inverse=True)
             zeros, ones = np.bincount(at, zeros, len(keys)), np.bincount(at, ones, len(keys))
             below = np.bincount(at, self.log_weighted[-1], len(keys))
             own = log_kt(zeros, ones)
@@ -102,11 +122,11 @@ class Trees:
             self.log_weighted.append(np.logaddexp(own, below) - _LOG2)
 
     def top(self) -> tuple[np.ndarray, ...]:
-        """(bit node, zeros, ones, log weighted probability) at depth 1."""
-        return self.keys[-1] & 255, self.zeros[-1], self.ones[-1], self.log_weighted[-1]
+        """(key, zeros, ones, log weighted probability) at depth base."""
+        return self.keys[-1], self.zeros[-1], self.ones[-1], self.log_weighted[-1]
 
-    def bits(self, root_stop: np.ndarray, root_one: np.ndarray) -> np.ndarray:
-        """Code length of each gram's byte; root_stop and root_one are the roots' own weight and their estimate of a one, by bit node."""
+    def bits(self, above: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Code length of each gram's byte; above has the levels over base: their keys, own weights and estimates of a one."""
         where = self.at[0]
         at = [where]
         for up in self.at[1:]:
@@ -121,43 +141,51 @@ class Trees:
             else:
                 stop = np.exp(self.log_kt[level] - _LOG2 - self.log_weighted[level])[w]
                 p = stop * own + (1 - stop) * p
-        node = self.keys[0][at[0]] & 255
-        own = np.where(self.bit == 1, root_one[node], 1 - root_one[node])
-        p = root_stop[node] * own + (1 - root_stop[node]) * p
+        for d, (keys, stop, one) in zip(range(len(above) - 1, -1, -1), above):
+            w = np.searchsorted(keys, shorter(self.keys[-1], d))[at[-1]]
+            own = np.where(self.bit == 1, one[w], 1 - one[w])
+            p = stop[w] * own + (1 - stop[w]) * p
         return -np.log2(p).reshape(-1, 8).sum(axis=1)
 
 
-def _tops(table: pa.Table, depth: int) -> pa.Table:
-    trees = Trees(table.column("gram").to_numpy(), table.column("n").to_numpy(), depth)
-    return pa.table(dict(zip(("node", "zeros", "ones", "weighted"), (trees.top()[0].astype(np.int32), *trees.top()[1:]))))
+def _tops(table: pa.Table, depth: int, base: int) -> pa.Table:
+    trees = Trees(table.column("gram").to_numpy(), table.column("n").to_numpy(), depth, base)
+    return pa.table(dict(zip(("key", "zeros", "ones", "weighted"), trees.top())))
 
 
-def _costs(table: pa.Table, depth: int, stop: np.ndarray, one: np.ndarray) -> pa.Table:
+def _costs(table: pa.Table, depth: int, base: int, above: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     gram = table.column("gram")
-    trees = Trees(gram.to_numpy(), table.column("n").to_numpy(), depth)
-    return pa.table({"gram": gram, "bits": trees.bits(stop, one)})
+    trees = Trees(gram.to_numpy(), table.column("n").to_numpy(), depth, base)
+    return pa.table({"gram": gram, "bits": trees.bits(above)})
 
 
 def gram_costs(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(gram, bits): the code length of a byte in its context, for every gram of the corpus."""
+    base = min(2, depth)
     counted = texts.select("text").mapInArrow(lambda it: _count(it, depth), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = cut(counted.withColumn("last", F.shiftright("gram", 8).bitwiseAND(F.lit(255)).cast("int")))
-    tops = counts.groupBy("last").applyInArrow(lambda t: _tops(t, depth), "node int, zeros double, ones double, weighted double")
-    roots = tops.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).toPandas()  # 255 rows at most
-    stop, one = np.zeros(256), np.full(256, 0.5)
-    node, zeros, ones, below = (roots.iloc[:, i].to_numpy() for i in range(4))
-    own = log_kt(zeros.astype(float), ones.astype(float))
-    stop[node.astype(int)] = np.exp(own - np.logaddexp(own, below.astype(float)))
-    one[node.astype(int)] = (ones + 0.5) / (zeros + ones + 1)
-    return counts.groupBy("last").applyInArrow(lambda t: _costs(t, depth, stop, one), "gram bigint, bits double")
+    last = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * base)) - 1))
+    counts = cut(counted.withColumn("g", F.pmod(F.xxhash64(last), F.lit(GROUPS)).cast("int")))
+    tops = counts.groupBy("g").applyInArrow(lambda t: _tops(t, depth, base), "key bigint, zeros double, ones double, weighted double")
+    key = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * (base - 1))) - 1)) * 256 + F.col("key").bitwiseAND(F.lit(255))
+    sums = tops.groupBy(key.alias("key")).agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).orderBy("key").toArrow()  # 256 * 255 rows at most
+    keys, zeros, ones, below = (sums.column(i).to_numpy() for i in range(4))
+    above = []
+    for d in range(base - 1, -1, -1):
+        if d < base - 1:
+            keys, at = np.unique(shorter(keys, d), return_inverse=True)
+            zeros, ones, below = (np.bincount(at, x, len(keys)) for x in (zeros, ones, weighted))
+        own = log_kt(zeros, ones)
+        weighted = np.logaddexp(own, below) - _LOG2
+        above.append((keys, np.exp(own - _LOG2 - weighted), (ones + 0.5) / (zeros + ones + 1)))
+    return counts.groupBy("g").applyInArrow(lambda t: _costs(t, depth, base, above), "gram bigint, bits double")
 
 
 class CostTable:
     """Code lengths by gram, in an open hash table that is looked up by whole arrays."""
 
     def __init__(self, gram: np.ndarray, bits: np.ndarray):
-        self.shift = np.uint32(32 - max(12, int(8 * max(1, len(gram)) - 1).bit_length()))
-        self.keys = np.zeros(1 << (32 - int(self.shift)), np.uint32)
+        self.shift = np.uint64(64 - max(12, int(2 * max(1, len(gram)) - 1).bit_length()))
+        self.keys = np.zeros(1 << (64 - int(self.shift)), np.uint64)
         self.used = np.zeros(len(self.keys), bool)
         self.bits = np.zeros(len(self.keys))
         todo, slot = np.arange(len(gram)), self._slot(gram)
@@ -171,7 +199,7 @@ class CostTable:
             todo, slot = todo[left], (slot[left] + 1) % len(self.keys)
 
     def _slot(self, gram: np.ndarray) -> np.ndarray:
-        return ((gram * np.uint32(2654435769)) >> self.shift).astype(np.int64)
+        return (mix(gram) >> self.shift).astype(np.int64)
 
     def of(self, gram: np.ndarray) -> np.ndarray:
         """Bits of grams that are all in the table."""
@@ -200,8 +228,10 @@ def _grams_of(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Reco
         for a, b in slices(col):
             data, off = raw(col.slice(a, b - a))
             at = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            key, n = np.unique(at.astype(np.uint64) << np.uint64(32) | gram_codes(data, off, depth), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(row[a + (key >> np.uint64(32)).astype(np.int64)]), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], ["row", "gram", "n"])
+            gram, own = np.unique(gram_codes(data, off, depth), return_inverse=True)
+            key, n = np.unique(at * len(gram) + own, return_counts=True)
+            at, own = np.divmod(key, max(1, len(gram)))
+            yield pa.RecordBatch.from_arrays([pa.array(row[a + at]), pa.array(gram[own].astype(np.int64)), pa.array(n)], ["row", "gram", "n"])
 
 
 def code_lengths(docs: DataFrame, depth: int = DEPTH, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -211,13 +241,13 @@ def code_lengths(docs: DataFrame, depth: int = DEPTH, broadcast_grams: int = BRO
     has 0 bytes, 0 bits and a null bits_per_byte. A null doc_id is kept; repeated rows count as often as they come and are each given. An empty
     table gives an empty result; other columns are not read.
     """
-    if not 1 <= depth <= 3:
-        raise ValueError("depth must be 1, 2 or 3")
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be from 1 to {MAX_DEPTH}")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     costs = cut(gram_costs(texts, depth))
     if costs.count() <= broadcast_grams:
         table = costs.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy().astype(np.uint32), table["bits"].to_numpy()))
+        shared = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy().astype(np.uint64), table["bits"].to_numpy()))
         scored = texts.mapInArrow(lambda it: _score(it, shared, depth), "doc_id bigint, n_bytes bigint, bits double")
     else:
         rows = cut(texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "text", F.monotonically_increasing_id().alias("row")))

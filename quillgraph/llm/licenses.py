@@ -1,9 +1,10 @@
 """Operator 2, licence scans by diagonal voting.
 
-Every run of K words of every document is hashed, and Spark joins the hashes with the positions of the same hashes in the licence
+Every run of K words (fewer for short templates) of every document is hashed, and Spark joins the hashes with the positions of the same hashes in the licence
 templates. A match at document position p and template position t votes for the diagonal p - t. Votes are aggregated by diagonal;
-neighbouring diagonals, which a few inserted or missing words bring about, are merged into one span; spans with enough votes are
-verified against the text by word edit distance.
+neighbouring diagonals, which inserted or missing words bring about, are merged into one span. An error spoils at most as many runs as a
+run has words, so a place within the allowed errors has a number of votes that follows from them; spans with so many are verified against
+the text by word edit distance, and no place within the allowed errors is lost before.
 
 The templates are a few thousand positions and are broadcast while they number at most BROADCAST_ROWS. Of the hashes, only matches
 leave the join, so the votes that are shuffled follow the licences found, not the text.
@@ -22,12 +23,10 @@ from quillgraph.llm.license_templates import TEMPLATES
 from quillgraph.llm.textkit import Words, signed, slices, text_column, word_hashes
 from quillgraph.storage import cut
 
-#: Words in a hashed run.
+#: Words in a hashed run, at most.
 K = 3
-#: Diagonals this close are one alignment.
+#: Diagonals this close are one alignment, as are those that the allowed errors can part.
 GAP = 4
-#: Share of a template's positions that must vote.
-MIN_VOTES = 0.5
 #: Largest share of a template's words that may be in error.
 MAX_ERROR = 0.2
 BROADCAST_ROWS = 1_000_000
@@ -35,24 +34,36 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_SPANS = 500_000
 
 
-def _grams(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def run_votes(n_words: int, most: int, k: int = K) -> tuple[int, int]:
+    """Words in a run, k at most, and the votes that a place with at most so many errors has: the longest run that leaves one."""
+    for size in range(min(k, n_words), 0, -1):
+        votes = n_words - size + 1 - size * most
+        if votes > 0:
+            return size, votes
+    return 1, 1
+
+
+def _grams(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col, ids = text_column(batch), batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).to_numpy()
         for a, b in slices(col):
             words = Words(col.slice(a, b - a))
-            gram, at = words.grams(k)
-            if len(at):
+            for size in sizes:
+                gram, at = words.grams(size)
+                if not len(at):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(ids[words.row[at] + a]), pa.array(words.position[at].astype(np.int32)), signed(gram)], ["doc_id", "position", "gram"])
 
 
-def template_grams(spark: SparkSession, templates: dict[str, str], k: int) -> DataFrame:
-    """(gram, template, place, n_grams, n_words) of the templates of at least k words."""
+def template_grams(spark: SparkSession, templates: dict[str, str], most: dict[str, int], k: int) -> DataFrame:
+    """(gram, template, place, least, gap, n_words): least votes of a span, and the largest gap between its diagonals."""
     rows = []
     for name, text in templates.items():
         words = Words(pa.array([text]))
-        grams, at = words.grams(k)
-        rows += [(int(g), name, int(p), len(at), len(words.hash)) for g, p in zip(grams.view(np.int64), at)]
-    return spark.createDataFrame(rows, "gram bigint, template string, place int, n_grams int, n_words int")
+        size, least = run_votes(len(words.hash), most[name], k)
+        grams, at = words.grams(size)
+        rows += [(int(g), name, int(p), least, max(GAP, most[name]), len(words.hash)) for g, p in zip(grams.view(np.int64), at)]
+    return spark.createDataFrame(rows, "gram bigint, template string, place int, least int, gap int, n_words int")
 
 
 def _checked(batches: Iterator[pa.RecordBatch], words_of: dict[str, tuple], most: dict[str, int]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +86,14 @@ def _checked(batches: Iterator[pa.RecordBatch], words_of: dict[str, tuple], most
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "template", "start", "end", "errors"])
 
 
-def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, min_votes: float = MIN_VOTES, max_error: float = MAX_ERROR) -> DataFrame:
+def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, max_error: float = MAX_ERROR) -> DataFrame:
     """(doc_id, template, start, end, errors): the licence texts that documents hold, by word position.
 
     Words are lower-case runs of letters and digits, numbered from 0. errors is the smallest word edit distance between the
     template and a part of the span, at most max_error of the template's words; end is where the first such part ends and start
     lies the template's length before it. Occurrences further apart than the template are found one by one; of those that share a span, the nearest.
 
-    Nulls, empty texts, texts of fewer than k words and rows with a null doc_id give nothing, as do templates of fewer than k words.
+    Nulls, empty texts and rows with a null doc_id give nothing, as do templates without words.
     Repeated rows give one result. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -90,20 +101,21 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: i
     words_of = {name: tuple(word_hashes(text).tolist()) for name, text in templates.items()}
     most = {name: int(max_error * len(w)) for name, w in words_of.items()}
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    places = template_grams(spark, templates, k)
+    places = template_grams(spark, templates, most, k)
+    sizes = sorted({run_votes(len(w), most[name], k)[0] for name, w in words_of.items()})
     small = sum(map(len, words_of.values())) <= BROADCAST_ROWS
-    matches = texts.mapInArrow(lambda it: _grams(it, k), "doc_id bigint, position int, gram bigint").join(F.broadcast(places) if small else places, "gram")
-    votes = matches.groupBy("doc_id", "template", (F.col("position") - F.col("place")).alias("diagonal"), "n_grams", "n_words").agg(F.collect_set("place").alias("places"))
+    matches = texts.mapInArrow(lambda it: _grams(it, sizes), "doc_id bigint, position int, gram bigint").join(F.broadcast(places) if small else places, "gram")
+    votes = matches.groupBy("doc_id", "template", (F.col("position") - F.col("place")).alias("diagonal"), "least", "gap", "n_words").agg(F.collect_set("place").alias("places"))
     by = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= GAP, 0).otherwise(1)
+    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= F.col("gap"), 0).otherwise(1)
     spans = (
         votes.withColumn("apart", apart)
         .withColumn("span", F.sum("apart").over(by))
-        .groupBy("doc_id", "template", "span", "n_grams", "n_words")
+        .groupBy("doc_id", "template", "span", "least", "gap", "n_words")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"))
-        .where(F.col("votes") >= F.lit(min_votes) * F.col("n_grams"))
+        .where(F.col("votes") >= F.col("least"))
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("template", (F.col("first") - GAP).alias("low"), (F.col("last") + F.col("n_words") + GAP).alias("high"))).alias("spans"))
+        .agg(F.collect_list(F.struct("template", (F.col("first") - F.col("gap")).alias("low"), (F.col("last") + F.col("n_words") + F.col("gap")).alias("high"))).alias("spans"))
     )
     spans = cut(spans)
     few = spans.count() <= BROADCAST_SPANS

@@ -3,9 +3,12 @@
 import random
 
 import pytest
-from test_brute_force import brute_ctw
+from test_brute_force import brute_ctw, nearest
 
 from quillgraph.llm.ctw import DEPTH, code_lengths
+from quillgraph.llm.license_templates import TEMPLATES
+from quillgraph.llm.licenses import MAX_ERROR, license_spans
+from quillgraph.llm.textkit import word_hashes
 
 
 @pytest.mark.parametrize("depth", [4, 5, 6])
@@ -29,3 +32,29 @@ def test_default_context_spans_five_bytes(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert DEPTH >= 5
     assert code_lengths(docs).first().bits < 0.8 * code_lengths(docs, 3).first().bits
+
+
+def test_licences_with_all_allowed_errors(spark):
+    """Every template with as many wrong, missing and additional words as are allowed, also evenly spread and in one run."""
+    rng = random.Random(12)
+    rows = []
+    for name, text in sorted(TEMPLATES.items()):
+        words = text.lower().replace("-", " ").split()
+        n = len(word_hashes(text))
+        for trial in range(24):
+            own, most = list(words), int(MAX_ERROR * n)
+            for e in range(most):
+                p = (e * len(own) // most + 2) % len(own) if trial % 3 == 0 else min(5 + e, len(own) - 1) if trial % 3 == 1 else rng.randrange(len(own))
+                kind = trial // 3 % 3 if trial < 18 else rng.randrange(3)
+                own[p : p + (kind != 1)] = ["zz"] if kind != 2 else []
+            rows.append((len(rows), f"some words before it {' '.join(own)} and some more after"))
+    want = set()
+    for i, text in rows:
+        own = word_hashes(text).tolist()
+        for name, template in TEMPLATES.items():
+            item = word_hashes(template).tolist()
+            errors, end = nearest(item, own)
+            if errors <= int(MAX_ERROR * len(item)):
+                want.add((i, name, errors, end))
+    got = {(r.doc_id, r.template, r.errors, r.end) for r in license_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(want) > 200 and {name for _, name, _, _ in want} == set(TEMPLATES) and want <= got

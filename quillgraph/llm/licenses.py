@@ -12,13 +12,13 @@ leave the join, so the votes that are shuffled follow the licences found, not th
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillgraph.llm.decontam import myers_find
 from quillgraph.llm.license_templates import TEMPLATES
 from quillgraph.llm.textkit import Words, signed, slices, text_column, word_hashes
 from quillgraph.storage import cut
@@ -66,6 +66,81 @@ def template_grams(spark: SparkSession, templates: dict[str, str], most: dict[st
     return spark.createDataFrame(rows, "gram bigint, template string, place int, least int, gap int, n_words int")
 
 
+def _start(item: tuple, text: list, errors: int) -> int:
+    """Where the shortest end part of text begins that lies errors from item, the least of any end part."""
+    column = list(range(len(item) + 1))
+    for n, c in enumerate([None, *reversed(text[-len(item) - errors :])]):
+        if n:
+            new = [n]
+            for i, x in enumerate(reversed(item), 1):
+                new.append(min(column[i] + 1, new[-1] + 1, column[i - 1] + (x != c)))
+            column = new
+        if column[-1] == errors:
+            break
+    return len(text) - n
+
+
+def find_all(item: tuple, text: list, most: int) -> list[tuple[int, int]]:
+    """(distance, end) of places within most errors that share no words, in order: of overlapping ones the nearest, the first of several.
+
+    Myers' algorithm from left to right. From the first place within most errors, nearer ones that overlap it take its place;
+    what is left before such a one is searched again, and the search goes on behind it.
+    """
+    n = len(item)
+    at: dict[int, int] = defaultdict(int)
+    for i, c in enumerate(item):
+        at[c] |= 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    found: list[tuple[int, int]] = []
+    begin = 0
+    while begin < len(text):
+        plus, minus, score = full, 0, n
+        best, end, first, stop = most + 1, -1, -1, len(text)
+        j = begin
+        while j < stop:
+            eq = at.get(text[j], 0)
+            x = eq | minus
+            zero = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+            up = minus | (full & ~(zero | plus))
+            down = plus & zero
+            if up & top:
+                score += 1
+            elif down & top:
+                score -= 1
+            up = (up << 1) & full
+            down = (down << 1) & full
+            plus = down | (full & ~(x | up))
+            minus = up & x
+            j += 1
+            if score < best and (end < 0 or j - n + score < end or begin + _start(item, text[begin:j], score) < end):
+                first = j if end < 0 else first
+                best, end, stop = score, j, min(len(text), j + n + most)
+                if not score:
+                    break
+        if end < 0:
+            break
+        if first <= end - n + best:
+            start = begin + _start(item, text[begin:end], best)
+            found += [(d, begin + e) for d, e in find_all(item, text[begin:start], most)]
+        found.append((best, end))
+        begin = end
+    return found
+
+
+def _regions(spans: list[dict], n: int) -> Iterator[tuple[str, int, int]]:
+    """(template, low, high) in a text of n words, regions of one template that meet made one."""
+    held: tuple[str, int, int] | None = None
+    for name, low, high in sorted((s["template"], max(0, s["low"]), min(n, s["high"])) for s in spans):
+        if held and held[0] == name and low <= held[2]:
+            held = (name, held[1], max(held[2], high))
+            continue
+        if held:
+            yield held
+        held = (name, low, high)
+    if held:
+        yield held
+
+
 def _checked(batches: Iterator[pa.RecordBatch], words_of: dict[str, tuple], most: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """Verified spans of rows (doc_id, text, spans)."""
     for batch in batches:
@@ -75,12 +150,9 @@ def _checked(batches: Iterator[pa.RecordBatch], words_of: dict[str, tuple], most
             words = Words(col.slice(a, b - a))
             for row in range(a, b):
                 own = words.hash[words.first[row - a] : words.first[row - a + 1]].tolist()
-                for s in spans[row]:
-                    name, lo = s["template"], max(0, s["low"])
-                    hit = myers_find(words_of[name], own[lo : max(0, s["high"])], most[name])
-                    if hit:
-                        end = lo + hit[1]
-                        found.append((ids[row], name, max(0, end - len(words_of[name])), end, hit[0]))
+                for name, lo, hi in _regions(spans[row], len(own)):
+                    for errors, end in find_all(words_of[name], own[lo:hi], most[name]):
+                        found.append((ids[row], name, max(0, lo + end - len(words_of[name])), lo + end, errors))
         if found:
             cols = list(zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "template", "start", "end", "errors"])
@@ -89,9 +161,9 @@ def _checked(batches: Iterator[pa.RecordBatch], words_of: dict[str, tuple], most
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, max_error: float = MAX_ERROR) -> DataFrame:
     """(doc_id, template, start, end, errors): the licence texts that documents hold, by word position.
 
-    Words are lower-case runs of letters and digits, numbered from 0. errors is the smallest word edit distance between the
-    template and a part of the span, at most max_error of the template's words; end is where the first such part ends and start
-    lies the template's length before it. Occurrences further apart than the template are found one by one; of those that share a span, the nearest.
+    Words are lower-case runs of letters and digits, numbered from 0. errors is the word edit distance between the
+    template and the part of the text found, at most max_error of the template's words; end is where that part ends and start
+    lies the template's length before it. All occurrences that share no words are found; of those that overlap, the nearest, the first of several.
 
     Nulls, empty texts and rows with a null doc_id give nothing, as do templates without words.
     Repeated rows give one result. An empty table gives an empty result; other columns are not read.

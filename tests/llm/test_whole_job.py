@@ -3,11 +3,11 @@
 import random
 
 import pytest
-from test_brute_force import brute_ctw, nearest
+from test_brute_force import brute_ctw, distance, nearest
 
 from quillgraph.llm.ctw import DEPTH, code_lengths
 from quillgraph.llm.license_templates import TEMPLATES
-from quillgraph.llm.licenses import MAX_ERROR, license_spans
+from quillgraph.llm.licenses import MAX_ERROR, find_all, license_spans
 from quillgraph.llm.textkit import word_hashes
 
 
@@ -58,3 +58,24 @@ def test_licences_with_all_allowed_errors(spark):
                 want.add((i, name, errors, end))
     got = {(r.doc_id, r.template, r.errors, r.end) for r in license_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert len(want) > 200 and {name for _, name, _, _ in want} == set(TEMPLATES) and want <= got
+
+
+def test_licences_close_together(spark):
+    notice, mit = "All rights reserved.", "Released under the MIT License."
+    rows = [(1, " ".join([notice] * 5)), (2, f"{notice} x {notice}"), (3, f"{mit} Released under MIT License. {mit}")]
+    got = sorted((r.doc_id, r.start, r.end, r.errors) for r in license_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 3 * i, 3 * i + 3, 0) for i in range(5)] + [(2, 0, 3, 0), (2, 4, 7, 0), (3, 0, 5, 0), (3, 4, 9, 1), (3, 9, 14, 0)]
+
+
+def test_find_all():
+    """What is found lies as near as said, in parts that share nothing, and nothing within the errors is left between."""
+    rng = random.Random(13)
+    for _ in range(400):
+        item, most = tuple(rng.choice("abc") for _ in range(rng.randint(3, 9))), rng.randint(0, 2)
+        text = [c for _ in range(rng.randint(0, 5)) for c in [*rng.choices("abcd", k=rng.randint(0, 4)), *(x for x in item if rng.random() < 0.9)]]
+        found, past = find_all(item, text, most), 0
+        for d, end in found:
+            begin = max(b for b in range(past, end + 1) if distance(item, text[b:end]) == d)
+            assert d <= most and nearest(item, text[past:begin])[0] > most
+            past = end
+        assert nearest(item, text[past:])[0] > most

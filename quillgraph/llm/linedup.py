@@ -1,12 +1,16 @@
 """Operator 3, line dedup by a segment-partition edit join.
 
-Two lines are alike when their edit distance is at most TAU. A line is cut into TAU + 1 even segments; if
+Two lines are alike when their edit distance is at most TAU, or when they differ in one stretch, of at most one character in STRETCH_CHARS
+of the shorter line on either side; several changes further apart than that are not looked for. For the distance, a line is cut into TAU + 1 even segments; if
 another line lies within TAU edits, one of these segments occurs in it unchanged, at a place that the two lengths
 confine to a few positions. So each line writes TAU + 1 index rows and a fixed number of probe rows (12 for TAU = 2),
 and bringing together equal (segment number, indexed length, segment content) finds every candidate: one shuffle by
 their hash, a sort, and a merge over the sorted runs. Rows carry a 64-bit parity sketch of the line's character pairs: an edit flips
 few of its bits, so most false candidates end inside the merge, without their texts. The rest are verified with a banded bit-parallel edit distance.
 
+A line that differs in one stretch keeps nearly half of its characters at its start or its end, so one key for each, of a length that goes by
+classes of line lengths, is in the same shuffle; such candidates are verified by their common start and end.
+
 Alike lines are linked transitively; of each group the first occurrence, by (doc_id, line number), stays.
 """
 
@@ -24,6 +28,8 @@ from quillgraph.storage import cut
 
 #: Largest edit distance, in characters, between lines that count as the same.
 TAU = 2
+#: One stretch may differ by a character for so many of the shorter line.
+STRETCH_CHARS = 16
 #: Shorter lines are left alone: at so few characters TAU edits make another sentence.
 MIN_CHARS = 20
 #: Largest set of line keys sent to every executor; beyond it, lines are joined with the keys instead.
@@ -85,6 +91,23 @@ def _probe_rows(prefix: Prefix, start: np.ndarray, length: np.ndarray, tau: int,
                 yield rows, _key(prefix.of(s, s + size[rows]), i, indexed[rows])
 
 
+#: Least lengths of the classes of lines, each about a quarter over the one before.
+_CLASSES = np.unique((STRETCH_CHARS * 1.25 ** np.arange(90)).astype(np.int64))
+
+
+def _half_rows(prefix: Prefix, start: np.ndarray, length: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray, U64]]:
+    """(line, key, probe bit) of starts and ends; probe rows also in the class below, where a shorter line may stand."""
+    own = np.searchsorted(_CLASSES, length, "right") - 1
+    low = _CLASSES[np.maximum(own, 0)]
+    longer = np.flatnonzero((own > 0) & (low - 1 + (low - 1) // STRETCH_CHARS >= length))
+    every = np.flatnonzero(length // STRETCH_CHARS > tau)
+    for rows, below, probe in ((every, 0, U64(0)), (every, 0, U64(1)), (longer, 1, U64(1))):
+        least = _CLASSES[own[rows] - below]
+        size = least * (STRETCH_CHARS - 1) // (2 * STRETCH_CHARS)
+        for half, at in ((0, start[rows]), (1, start[rows] + length[rows] - size)):
+            yield rows, _key(prefix.of(at, at + size), 9 + half, least), probe
+
+
 KEY_SCHEMA = "key bigint, line bigint, sketch bigint"
 
 
@@ -110,6 +133,8 @@ def _keys(batches: Iterator[pa.RecordBatch], tau: int, min_chars: int) -> Iterat
             start, length, sketch = start[once], length[once], sketch[once]
             for probe, rows in ((U64(0), _index_rows(prefix, start, length, tau)), (U64(1), _probe_rows(prefix, start, length, tau, min_chars))):
                 parts += [(key, name[line] | probe, sketch[line]) for line, key in rows]
+            # Their sketches may differ in any number of bits; zeros always pass.
+            parts += [(key, name[line] | probe, np.zeros(len(line), U64)) for line, key, probe in _half_rows(prefix, start, length, tau)]
         if parts:
             key, name, sketch = (np.concatenate(x) for x in zip(*parts))
             order = np.unique(mix(key) ^ name, return_index=True)[1]
@@ -237,7 +262,10 @@ def _verify(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-            good = within(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), tau)
+            left, right = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
+            good = one_stretch(left, right)
+            rest = np.flatnonzero(~good)
+            good[rest] = within([left[i] for i in rest], [right[i] for i in rest], tau)
             yield part.select(["a", "b"]).filter(pa.array(good))
 
 
@@ -259,6 +287,21 @@ def _trimmed(x: str, y: str) -> tuple[str, str]:
     return x[: len(x) - hi], y[: len(y) - hi]
 
 
+def one_stretch(left: list[str], right: list[str]) -> np.ndarray:
+    """Whether each pair differs in one stretch only, on either side at most a character for STRETCH_CHARS of the shorter."""
+    good = np.zeros(len(left), bool)
+    for k, (x, y) in enumerate(zip(left, right)):
+        most = min(len(x), len(y)) // STRETCH_CHARS
+        if abs(len(x) - len(y)) > most:
+            continue
+        x, y = _trimmed(x, y)  # steps are halved and rounded down, so some equal characters may be left
+        n = min(len(x), len(y))
+        lo = next((i for i in range(n) if x[i] != y[i]), n)
+        hi = next((i for i in range(n - lo) if x[-1 - i] != y[-1 - i]), n - lo)
+        good[k] = max(len(x), len(y)) - lo - hi <= most
+    return good
+
+
 def within(left: list[str], right: list[str], tau: int) -> np.ndarray:
     """Whether the edit distance of each pair is at most tau."""
     good = np.zeros(len(left), bool)
@@ -289,7 +332,7 @@ def _usable(docs: DataFrame) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): keys of all pairs of different lines of at least min_chars characters within tau edits, a < b, each once."""
+    """(a, b): keys of all pairs of different lines of at least min_chars characters within tau edits or with one stretch changed, a < b, each once."""
     texts = _usable(docs).select("text")
 
     rows = texts.mapInArrow(lambda it: _keys(it, tau, min_chars), KEY_SCHEMA)

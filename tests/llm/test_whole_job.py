@@ -8,6 +8,7 @@ from test_brute_force import brute_ctw, distance, nearest
 from quillgraph.llm.ctw import DEPTH, code_lengths
 from quillgraph.llm.license_templates import TEMPLATES
 from quillgraph.llm.licenses import MAX_ERROR, find_all, license_spans
+from quillgraph.llm.linedup import duplicate_lines
 from quillgraph.llm.textkit import word_hashes
 
 
@@ -79,3 +80,23 @@ def test_find_all():
             assert d <= most and nearest(item, text[past:begin])[0] > most
             past = end
         assert nearest(item, text[past:])[0] > most
+
+
+def test_lines_with_a_replaced_word(spark):
+    """Pairs with one stretch replaced, removed or put in, up to a sixteenth of the line, and pairs with one character more than that."""
+    rng = random.Random(14)
+    lines, want = [], set()
+    for n in (200, 255, 256, 391, 488, 611, 764, 1200, 2384, 24000):
+        for place in (0, 0.3, 0.5, 0.7, 1):
+            for left, put in ((1, 1), (0.5, 1), (1, 0), (1, 17 / 16)):
+                base = "".join(rng.choice("abcde ") for _ in range(n // 4))
+                most = len(base) // 16
+                gone, new = int(left * most), int(put * most) + (put > 1)
+                at = int(place * (len(base) - gone))
+                other = base[:at] + "z" * new + base[at + gone :]
+                if max(gone, new) <= min(len(base), len(other)) // 16:
+                    want.add((len(lines) + 1, len(lines)))
+                lines += [base, other]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.kept_doc_id) for r in duplicate_lines(docs).collect()}
+    assert len(want) > 100 and got == want

@@ -48,14 +48,14 @@ class GroupResolver(Protocol):
 
 
 def retried(call: Callable[[], R], tries: int = 5, base: float = 2.0, on: tuple[type[Exception], ...] = (Throttled,), sleep: Callable[[float], None] = time.sleep) -> R:
-    """call's result, repeated after base, base**2, ... seconds while it raises one of on; the last error is raised."""
+    """call's result, repeated after base, 2 * base, 4 * base, ... seconds while it raises one of on; the last error is raised."""
     for n in range(tries):
         try:
             return call()
         except on:
             if n == tries - 1:
                 raise
-            sleep(base ** (n + 1))
+            sleep(base * 2**n)
     raise ValueError("tries must be positive")
 
 

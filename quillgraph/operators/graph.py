@@ -62,9 +62,13 @@ def upsert_relations(rows: DataFrame, entities: DataFrame | None = None) -> Data
     return once.groupBy("src", "dst").agg(T.fold_descriptions(ordered(F.col("relation"))).alias("relation"))
 
 
-def upsert_mentions(rows: DataFrame, entities: DataFrame) -> DataFrame:
-    """Distinct (source_kind, source_id, entity_name) whose entity exists."""
-    return rows.select("source_kind", "source_id", "entity_name").distinct().join(entities.select(F.col("name").alias("entity_name")), "entity_name", "left_semi").select("source_kind", "source_id", "entity_name")
+def upsert_mentions(rows: DataFrame, entities: DataFrame, documents: DataFrame | None = None, paragraphs: DataFrame | None = None) -> DataFrame:
+    """Distinct (source_kind, source_id, entity_name) whose entity exists, and whose document or paragraph does where those tables are given."""
+    out = rows.select("source_kind", "source_id", "entity_name").distinct().join(entities.select(F.col("name").alias("entity_name")), "entity_name", "left_semi")
+    if documents is not None and paragraphs is not None:
+        known = documents.select(F.lit("document").alias("source_kind"), F.col("title").alias("source_id")).union(paragraphs.select(F.lit("paragraph"), F.col("id")))
+        out = out.join(known, ["source_kind", "source_id"], "left_semi")
+    return out.select("source_kind", "source_id", "entity_name")
 
 
 def doc_counts(entities: DataFrame, mentions: DataFrame, paragraphs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators import graph as G
+from quillgraph.storage import cut
 
 
 def explode_paragraphs(examples: DataFrame) -> DataFrame:
@@ -137,11 +138,12 @@ def build_graph(examples: DataFrame, extractions: DataFrame, skip_blank: bool =
     if skip_blank:
         ex = ex.withColumn("triples", F.filter("triples", lambda t: (t["subject"] != "") & (t["object"] != "")))
     rows = paragraphs.select(F.struct("seq", "pos").alias("seq"), "title", "text")
-    named = G.upsert_entities(entity_rows(paragraphs, ex))
-    stored = G.upsert_paragraphs(rows)
-    mentions = G.upsert_mentions(paragraph_mentions(paragraphs, ex).unionByName(document_mentions(paragraphs, ex)), named)
+    # Entities and mentions each go into several tables of the graph, and their making is the costly part.
+    named = cut(G.upsert_entities(entity_rows(paragraphs, ex)))
+    stored, titles = G.upsert_paragraphs(rows), G.upsert_documents(rows)
+    mentions = cut(G.upsert_mentions(paragraph_mentions(paragraphs, ex).unionByName(document_mentions(paragraphs, ex)), named, titles, stored))
     counted = named.join(G.doc_counts(named, mentions, stored), "name")
-    return Graph(G.upsert_documents(rows), stored, counted, G.has_paragraph(rows), mentions, G.upsert_relations(relation_rows(paragraphs, ex), named))
+    return Graph(titles, stored, counted, G.has_paragraph(rows), mentions, G.upsert_relations(relation_rows(paragraphs, ex), named))
 
 
 def pending_embeddings(entities: DataFrame) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillgraph.operators.retrieve import top_k
+from quillgraph.operators.retrieve import falling, top_k
 from quillgraph.storage import cut
 
 #: Longest path, whatever the number of propagation steps.
 MAX_HOPS = 4
 
+
 def _order() -> list:
-    return [F.desc(F.round("path_weight", 9)), F.asc(F.size("names")), F.asc("names"), F.asc(F.transform("edges", lambda e: e["forward"].cast("int"))), F.asc(F.transform("edges", lambda e: e["relation"]))]
+    return [falling("path_weight"), F.asc(F.size("names")), F.asc("names"), F.asc(F.transform("edges", lambda e: e["forward"].cast("int"))), F.asc(F.transform("edges", lambda e: e["relation"]))]
 
 
 def all_paths(state: DataFrame, seeds: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:

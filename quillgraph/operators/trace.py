@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quillgraph.functions import vectors as V
-from quillgraph.operators.retrieve import flows, hinted, top_k, with_norm
+from quillgraph.operators.retrieve import falling, flows, top_k
+from quillgraph.storage import hinted
 
 
 def _4(c):
@@ -22,15 +23,15 @@ def trace_flows(state: DataFrame, edges: DataFrame, questions: DataFrame, entiti
     Always gated; no threshold on the sum of a destination.
     """
     q = hinted(questions.select("qid", "embedding").withColumn("q_norm", V.norm("embedding")))
-    known = with_norm(entities.where("description_embedding IS NOT NULL")).select(F.col("name").alias("dst"), "description_embedding", "norm")
-    met = flows(state, edges, threshold).join(known, "dst").join(q, "qid").withColumn("sim", V.cosine("description_embedding", "embedding", "norm", "q_norm"))
+    known = entities.where("description_embedding IS NOT NULL").select(F.col("name").alias("dst"), "description_embedding")
+    met = flows(state, edges, threshold).join(known, "dst").join(q, "qid").withColumn("sim", V.cosine("description_embedding", "embedding", None, "q_norm"))
     carried = met.withColumn("contrib", F.col("src_resource") * decay * V.relu(F.col("sim"))).where("contrib > 0")
-    order = [F.desc(F.round("contrib", 9)), F.asc("src"), F.asc("dst"), F.asc("forward"), F.asc("relation")]
+    order = [falling("contrib"), F.asc("src"), F.asc("dst"), F.asc("forward"), F.asc("relation")]
     return top_k(carried, k, order).select("qid", "rank", "src", "relation", "dst", "forward", _4(F.col("sim")).alias("sim"), _4(F.col("contrib")).alias("contrib"))
 
 
 def trace_state(state: DataFrame, k: int = 20) -> DataFrame:
-    return top_k(state, k, [F.desc("resource"), F.asc("name")]).select("qid", "rank", "name", _4(F.col("resource")).alias("resource"))
+    return top_k(state, k, [falling("resource"), F.asc("name")]).select("qid", "rank", "name", _4(F.col("resource")).alias("resource"))
 
 
 def active_counts(before: DataFrame, after: DataFrame) -> DataFrame:

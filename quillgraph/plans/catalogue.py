@@ -11,7 +11,7 @@ from quillgraph.functions import vectors as V
 from quillgraph.operators import context, evaluate, graph, ingest, paths, resolve, retrieve, trace
 from quillgraph.plans import fixtures as X
 from quillgraph.sources import qa
-from quillgraph.storage import cut
+from quillgraph.storage import cut, hinted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,28 +35,28 @@ def _6(c: str):
 
 SIM = "list_dot_product(e.v, q.v) / nullif(e.nrm * q.nrm, 0)"
 VSEED_SQL = f"""
-near AS (SELECT q.qid, e.name, (1 + {SIM}) / 2 AS score, row_number() OVER (PARTITION BY q.qid ORDER BY (1 + {SIM}) / 2 DESC, e.name) AS rank FROM q CROSS JOIN entn e)
+near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, name) AS rank FROM (SELECT q.qid, e.name, round((1 + {SIM}) / 2, 12) AS score FROM q CROSS JOIN entn e))
 """
 SEED_SQL = f"""
 asked AS (SELECT *, greatest(1, 5 // count(*) OVER (PARTITION BY qid)) AS k, name IN (SELECT name FROM ent) AS known FROM ask),
-fallback AS (SELECT a.qid, a.k, e.name, (1 + list_dot_product(e.v, a.v) / nullif(e.nrm * sqrt(list_dot_product(a.v, a.v)), 0)) / 2 AS score,
-  row_number() OVER (PARTITION BY a.qid, a.pos ORDER BY (1 + list_dot_product(e.v, a.v) / nullif(e.nrm * sqrt(list_dot_product(a.v, a.v)), 0)) / 2 DESC, e.name) AS rn
-  FROM asked a CROSS JOIN entn e WHERE NOT a.known AND a.v IS NOT NULL),
+fallback AS (SELECT *, row_number() OVER (PARTITION BY qid, pos ORDER BY round(score, 9) DESC, name) AS rn FROM (
+  SELECT a.qid, a.pos, a.k, e.name, round((1 + list_dot_product(e.v, a.v) / nullif(e.nrm * sqrt(list_dot_product(a.v, a.v)), 0)) / 2, 12) AS score
+  FROM asked a CROSS JOIN entn e WHERE NOT a.known AND a.v IS NOT NULL)),
 best AS (SELECT qid, name, max(score) AS score FROM (SELECT qid, name, 1.0 AS score FROM asked WHERE known UNION ALL SELECT qid, name, score FROM fallback WHERE rn <= k AND score IS NOT NULL) GROUP BY qid, name),
-s0 AS MATERIALIZED (SELECT qid, name, score / max(score) OVER (PARTITION BY qid) AS resource FROM best)
+s0 AS MATERIALIZED (SELECT qid, name, round(score / max(score) OVER (PARTITION BY qid), 12) AS resource FROM best)
 """
 
 
 def steps_sql(n: int, decay: float = 0.7, gated: bool = True, threshold: float = 0.01) -> str:
     out = []
     for i in range(1, n + 1):
-        gate = f"t.total * CASE WHEN {SIM} > 0 THEN {SIM} ELSE 0 END"
+        gate = f"round(t.total * CASE WHEN {SIM} > 0 THEN {SIM} ELSE 0 END, 12)"
         gain = f"SELECT t.qid, t.name, {gate} AS inc FROM t{i} t JOIN entn e ON e.name = t.name JOIN q ON q.qid = t.qid WHERE e.v IS NOT NULL" if gated else f"SELECT qid, name, total AS inc FROM t{i}"
         out.append(f"""
-t{i} AS MATERIALIZED (SELECT a.qid, x.dst AS name, sum(a.resource) * {decay} AS total FROM s{i - 1} a JOIN adj x ON x.src = a.name LEFT JOIN s{i - 1} b ON b.qid = a.qid AND b.name = x.dst
+t{i} AS MATERIALIZED (SELECT a.qid, x.dst AS name, round(sum(a.resource) * {decay}, 12) AS total FROM s{i - 1} a JOIN adj x ON x.src = a.name LEFT JOIN s{i - 1} b ON b.qid = a.qid AND b.name = x.dst
   WHERE a.resource > {threshold} AND (b.resource IS NULL OR b.resource < a.resource) GROUP BY a.qid, x.dst),
 g{i} AS MATERIALIZED ({gain}),
-s{i} AS MATERIALIZED (SELECT qid, name, sum(resource) AS resource FROM (SELECT qid, name, resource FROM s{i - 1} UNION ALL SELECT qid, name, inc FROM g{i} WHERE inc > {threshold}) GROUP BY qid, name)""")
+s{i} AS MATERIALIZED (SELECT qid, name, round(sum(resource), 12) AS resource FROM (SELECT qid, name, resource FROM s{i - 1} UNION ALL SELECT qid, name, inc FROM g{i} WHERE inc > {threshold}) GROUP BY qid, name)""")
     return ",".join(out)
 
 
@@ -77,8 +77,8 @@ def _state(spark: SparkSession, d: str, steps: int = 3, decay: float = 0.7, gate
 
 @query(_with(X.GRAPH_SQL) + f"SELECT q.qid, e.name, round({SIM}, 6) AS cos FROM q CROSS JOIN entn e")
 def cosine_scores(spark, d):
-    q = retrieve.hinted(X.questions(spark, d).withColumn("q_norm", V.norm("embedding")))
-    e = retrieve.with_norm(X.entities(spark, d))
+    q = hinted(X.questions(spark, d).withColumn("q_norm", V.norm("embedding")))
+    e = X.entities(spark, d).withColumn("norm", V.norm("description_embedding"))
     return e.crossJoin(q).select("qid", "name", F.round(V.cosine("description_embedding", "embedding", "norm", "q_norm"), 6).alias("cos"))
 
 
@@ -101,8 +101,8 @@ def seeds_mixed(spark, d):
     _with(X.GRAPH_SQL)
     + """, hit AS (SELECT DISTINCT qid, name FROM ask WHERE name IN (SELECT name FROM ent)),
 one AS (SELECT * FROM ask WHERE pos = 0 AND qid NOT IN (SELECT qid FROM hit)),
-near AS (SELECT a.qid, e.name, (1 + list_dot_product(e.v, a.v) / (e.nrm * sqrt(list_dot_product(a.v, a.v)))) / 2 AS score FROM one a CROSS JOIN entn e),
-top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS rn FROM near)
+near AS (SELECT a.qid, e.name, round((1 + list_dot_product(e.v, a.v) / (e.nrm * sqrt(list_dot_product(a.v, a.v)))) / 2, 12) AS score FROM one a CROSS JOIN entn e),
+top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, name) AS rn FROM near)
 SELECT qid, name, 1.0 AS resource FROM hit UNION ALL SELECT qid, name, round(score / max(score) OVER (PARTITION BY qid), 6) FROM top WHERE rn <= 5"""
 )
 def seeds_stateful(spark, d):
@@ -132,7 +132,7 @@ for _decay in (0.3, 0.5, 0.9, 1.0):
 STATE3 = _with(X.GRAPH_SQL, SEED_SQL, steps_sql(3))
 
 
-@query(STATE3 + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY resource DESC, name) AS rank FROM s3) SELECT r.qid, r.rank, r.name, round(r.resource, 6) AS resource, e.type, e.description FROM r JOIN ent e ON e.name = r.name WHERE rank <= 30")
+@query(STATE3 + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(resource, 9) DESC, name) AS rank FROM s3) SELECT r.qid, r.rank, r.name, round(r.resource, 6) AS resource, e.type, e.description FROM r JOIN ent e ON e.name = r.name WHERE rank <= 30")
 def top_entities(spark, d):
     state, _, _, _, e = _state(spark, d)
     return retrieve.top_entities(state, e).withColumn("resource", F.round("resource", 6))
@@ -179,7 +179,7 @@ def paths_dedup(spark, d):
 
 
 _CONTEXT_SQL = """, line AS (SELECT qid, rank, names[1] || array_to_string(list_transform(range(1, len(names)), lambda i: CASE WHEN fwd[i] THEN ' --[' || rels[i] || ']--> ' ELSE ' <--[' || rels[i] || ']-- ' END || '''' || names[i + 1] || ''''), '') AS t FROM dedup),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY resource DESC, name) AS rank FROM s3),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(resource, 9) DESC, name) AS rank FROM s3),
 dl AS (SELECT r.qid, r.rank, '- ' || e.name || ': ' || e.description AS t FROM r JOIN ent e ON e.name = r.name WHERE r.rank <= 30),
 pt AS (SELECT qid, string_agg(t, chr(10) ORDER BY rank) AS p FROM line GROUP BY qid), dt AS (SELECT qid, string_agg(t, chr(10) ORDER BY rank) AS x FROM dl GROUP BY qid)
 SELECT q.qid, coalesce(p, 'No paths found.') AS paths_text, coalesce(x, CASE WHEN p IS NULL THEN 'No entities found.' ELSE 'No descriptions available.' END) AS descriptions_text FROM q LEFT JOIN pt ON pt.qid = q.qid LEFT JOIN dt ON dt.qid = q.qid"""
@@ -203,7 +203,7 @@ def trace_flows(spark, d):
     return trace.trace_flows(state, edges, questions, e)
 
 
-@query(STATE3 + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY resource DESC, name) AS rank FROM s3) SELECT qid, rank, name, round(resource, 4) AS resource FROM r WHERE rank <= 20")
+@query(STATE3 + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(resource, 9) DESC, name) AS rank FROM s3) SELECT qid, rank, name, round(resource, 4) AS resource FROM r WHERE rank <= 20")
 def trace_state(spark, d):
     return trace.trace_state(_state(spark, d)[0])
 
@@ -221,7 +221,7 @@ def active_counts(spark, d):
 
 
 @query(
-    STATE3 + "," + PATH_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY resource DESC, name) AS rank FROM s3)
+    STATE3 + "," + PATH_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(resource, 9) DESC, name) AS rank FROM s3)
 SELECT q.qid, (SELECT string_agg(name, ',' ORDER BY name) FROM s0 WHERE s0.qid = q.qid) AS seeds, (SELECT string_agg(name, ',' ORDER BY name) FROM r WHERE r.qid = q.qid AND rank <= 30) AS entities,
   coalesce((SELECT string_agg(array_to_string(names, '>'), ',' ORDER BY array_to_string(names, '>')) FROM dedup WHERE dedup.qid = q.qid), '') AS paths FROM q"""
 )
@@ -289,7 +289,7 @@ TEXT = _with(X.TEXT_SQL)
 
 def _ingested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(examples, paragraphs, normalized extractions)."""
-    ex = X.examples(spark, d)
+    ex = cut(X.examples(spark, d))
     p = ingest.explode_paragraphs(ex)
     return ex, p, cut(ingest.normalize_extractions(X.extractions(ingest.merged_documents(p))))
 
@@ -547,7 +547,7 @@ def running_em_f1(spark, d):
 
 
 @query(
-    STATE3 + "," + PATH_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY resource DESC, name) AS rank FROM s3)
+    STATE3 + "," + PATH_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(resource, 9) DESC, name) AS rank FROM s3)
 SELECT q.qid, (SELECT count(*) FROM dedup x WHERE x.qid = q.qid) AS num_paths, (SELECT count(*) FROM r WHERE r.qid = q.qid AND rank <= 30) AS num_entities, (SELECT count(*) FROM s0 WHERE s0.qid = q.qid) AS num_seeds,
   (SELECT string_agg(name, ', ' ORDER BY pos) FROM ask WHERE ask.qid = q.qid) AS extracted_entities FROM q"""
 )

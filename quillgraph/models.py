@@ -158,12 +158,17 @@ def embed_cached(texts: DataFrame, cache: DataFrame, model: Embedder, name: str,
     return keyed.join(cache.select("key", "embedding").unionByName(fresh), "key").select("text", "embedding"), fresh
 
 
-def question_entities(questions: DataFrame, model: QuestionEntities, embedder: Embedder) -> DataFrame:
-    """(qid, pos, name, hint_embedding) from questions (qid, question)."""
-    found = _mapped(questions.select("qid", "question"), "found array<struct<name:string,search_hint:string>>", {"found": lambda r: model.entities(r["question"])}, None)
-    each = found.select("qid", F.posexplode("found").alias("pos", "e")).select("qid", "pos", "e.name", F.col("e.search_hint").alias("hint"))
-    hints = embed(each, embedder, None, "hint").withColumnRenamed("embedding", "hint_embedding")
-    return each.join(hints, each["hint"] == hints["text"], "left").select("qid", "pos", "name", "hint_embedding")
+FOUND = "found array<struct<name:string,search_hint:string>>"
+
+
+def found_entities(questions: DataFrame, model: QuestionEntities) -> DataFrame:
+    """(question, found) of rows (question)."""
+    return _mapped(questions.select("question"), FOUND, {"found": lambda r: retried(lambda: model.entities(r["question"]))}, None)
+
+
+def listed_entities(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """(qid, pos, name, hint): the query entities of questions (qid, question), in the model's order."""
+    return questions.select("qid", "question").join(found, "question").select("qid", F.posexplode("found").alias("pos", "e")).select("qid", "pos", "e.name", F.col("e.search_hint").alias("hint"))
 
 
 def answer(contexts: DataFrame, model: Generator) -> DataFrame:

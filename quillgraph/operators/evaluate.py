@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import fields
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators.retrieve import Retrieval, Settings, retrieve
+from quillgraph.storage import cut
 
 ROW_SCHEMA = (
     "question_id string, question string, ground_truth string, prediction string, em double, f1 double, llm_accuracy double, prompt_tokens bigint, "
@@ -99,14 +103,38 @@ def same_fingerprints(a: DataFrame, b: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("n"), F.count_if("hit").alias("matches"), F.coalesce(F.bool_and("hit"), F.lit(True)).alias("all_match"))
 
 
+#: Answers may hold quotes, line breaks and white space at their ends; all of it comes back.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(rows: DataFrame, path: str, config: str) -> None:
     """One configuration's rows as CSV with a header, in a folder of its own under path."""
-    rows.write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/')}/config={config}")
+    rows.write.mode("overwrite").options(**_CSV).csv(f"{path.rstrip('/')}/config={config}")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All configurations under path, with their names in config."""
-    return spark.read.schema(ROW_SCHEMA + ", config string").option("header", True).csv(path)
+    return spark.read.schema(ROW_SCHEMA + ", config string").options(**_CSV, multiLine=True).csv(path)
+
+
+def patch_csv(path: str, config: str, timings: DataFrame) -> bool:
+    """Replaces retrieval_s of the questions in timings in the CSV of a configuration; False where it has none."""
+    rows = cut(read_csv(timings.sparkSession, path).where(F.col("config") == config).drop("config"))  # the files are read before they are written over
+    if rows.isEmpty():
+        return False
+    write_csv(patch_latency(rows, timings), path, config)
+    return True
+
+
+def question_number(qid: str) -> Column:
+    """The number at the end of an id such as q_12; null where there is none."""
+    return F.regexp_extract(qid, r"([0-9]{1,18})$", 1).try_cast("bigint")
+
+
+def first_questions(questions: DataFrame, n: int | None) -> DataFrame:
+    """The first n questions in source order: by seq where there is such a column, else by the number in qid. All where n is 0 or None."""
+    order = ["seq"] if "seq" in questions.columns else [F.asc_nulls_last(question_number("qid")), F.asc("qid")]
+    return questions.orderBy(*order).limit(n) if n else questions
 
 
 def sweep(questions: DataFrame, query_entities: DataFrame, entities: DataFrame, relations: DataFrame, configs: list[Settings] | None = None) -> dict[str, Retrieval]:
@@ -114,19 +142,47 @@ def sweep(questions: DataFrame, query_entities: DataFrame, entities: DataFrame,
     return {c.name: retrieve(questions, query_entities, entities, relations, c) for c in configs or ABLATION}
 
 
-def benchmark(questions: DataFrame, query_entities: DataFrame, entities: DataFrame, relations: DataFrame, configs: list[Settings]) -> list[dict]:
-    """Seconds of each configuration for all questions, down to written paths and entities; also per question."""
+def in_groups(questions: DataFrame, query_entities: DataFrame, entities: DataFrame, relations: DataFrame, settings: Settings, workers: int) -> Retrieval:
+    """The retrieval with questions in so many groups, whose jobs run at once. No state is shared between groups."""
+
+    def one(g: int) -> Retrieval:
+        own = lambda df: df if workers == 1 else df.where(F.pmod(F.xxhash64("qid"), F.lit(workers)) == g)
+        r = retrieve(own(questions), own(query_entities), entities, relations, settings)
+        return Retrieval(**{f.name: cut(getattr(r, f.name)) for f in fields(Retrieval)})
+
+    with ThreadPoolExecutor(workers) as pool:
+        parts = list(pool.map(one, range(workers)))
+    return Retrieval(**{f.name: reduce(DataFrame.unionByName, [getattr(p, f.name) for p in parts]) for f in fields(Retrieval)})
+
+
+def benchmark(questions: DataFrame, query_entities: DataFrame, entities: DataFrame, relations: DataFrame, configs: list[Settings], workers: int = 1) -> list[dict]:
+    """Seconds of each configuration for all questions, down to stored paths and entities; also per question."""
     n, out = questions.count(), []
     for c in configs:
         began = time.perf_counter()
-        result = retrieve(questions, query_entities, entities, relations, c)
-        for df in (result.paths, result.entities):
-            df.write.format("noop").mode("overwrite").save()
+        in_groups(questions, query_entities, entities, relations, c, workers)
         seconds = time.perf_counter() - began
         out.append({"config": c.name, "seconds": seconds, "questions": n, "seconds_per_question": seconds / max(n, 1)})
     return out
 
 
+def speedups(questions: DataFrame, query_entities: DataFrame, entities: DataFrame, relations: DataFrame, settings: Settings = Settings(), workers: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
+    """(mode, workers, elapsed_s, speedup_vs_serial, matches_serial, questions), one row for each number of groups, against all questions in one group."""
+
+    def run(n: int) -> tuple[float, DataFrame]:
+        began = time.perf_counter()
+        result = in_groups(questions, query_entities, entities, relations, settings, n)
+        return time.perf_counter() - began, cut(fingerprints(result, questions))
+
+    serial, reference = run(1)
+    rows = []
+    for n in workers:
+        seconds, other = (serial, reference) if n == 1 else run(n)
+        same = same_fingerprints(reference, other).first()
+        rows.append(("serial" if n == 1 else f"parallel x{n}", n, round(seconds, 2), round(serial / seconds, 2), same["matches"], same["n"]))
+    return questions.sparkSession.createDataFrame(rows, "mode string, workers int, elapsed_s double, speedup_vs_serial double, matches_serial bigint, questions bigint")
+
+
 def parallel_guard(workers: int, mode: str) -> None:
     """Several workers on a stateful retriever are refused, as its state would be shared. Here state is never shared; the check keeps the interface."""
     if workers > 1 and mode == "stateful":

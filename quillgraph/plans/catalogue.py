@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from quillgraph import models as M
 from quillgraph.functions import text as T
 from quillgraph.functions import vectors as V
 from quillgraph.operators import context, evaluate, graph, ingest, paths, resolve, retrieve, trace
 from quillgraph.plans import fixtures as X
 from quillgraph.sources import qa
-from quillgraph.storage import cut, hinted
+from quillgraph.storage import cut, hinted, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -241,6 +243,74 @@ def fingerprint_match(spark, d):
     return evaluate.same_fingerprints(one, other)
 
 
+@query(STATE3 + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(resource, 9) DESC, name) AS rank FROM s3) SELECT qid, rank, name, round(resource, 6) AS resource, true AS same FROM r WHERE rank <= 30")
+def partition_invariance(spark, d):
+    """Ranks and resources from tables in other partitions; same tells that every digit is as it was."""
+    q, a, e, r = X.questions(spark, d), X.query_entities(spark, d), X.entities(spark, d), X.relations(spark, d)
+    one = retrieve.retrieve(q, a, e, r).entities.select("qid", "rank", F.struct("name", "resource").alias("was"))
+    other = retrieve.retrieve(q.repartition(7), a.repartition(5), e.repartition(9), r.repartition(13, "dst")).entities
+    return other.join(cut(one), ["qid", "rank"], "left").select("qid", "rank", "name", _6("resource"), (F.struct("name", "resource") == F.col("was")).alias("same"))
+
+
+@query(
+    "SELECT w.mode, w.workers, count(*) AS matches_serial, count(*) AS questions FROM embeddings CROSS JOIN (SELECT 'serial' AS mode, 1 AS workers UNION ALL SELECT 'parallel x3', 3) w WHERE vec_id % 100 = 7 GROUP BY w.mode, w.workers"
+)
+def parallel_speedup(spark, d):
+    """The table of speed-ups without its times: how many questions of a parallel run give the serial results."""
+    table = evaluate.speedups(X.questions(spark, d), X.query_entities(spark, d), X.entities(spark, d), X.relations(spark, d), retrieve.Settings(max_steps=1), (1, 3))
+    return table.select("mode", "workers", "matches_serial", "questions")
+
+
+@query(
+    _with(X.GRAPH_SQL, VSEED_SQL, SEED_SQL, steps_sql(1))
+    + "SELECT 'naive-vector' AS config, qid, count(*) AS n FROM near WHERE rank <= 30 GROUP BY qid UNION ALL SELECT 'steps-1', qid, least(count(*), 30) FROM s1 GROUP BY qid"
+)
+def ablation_sweep(spark, d):
+    configs = [c for c in evaluate.ABLATION if c.name in ("naive-vector", "steps-1")]
+    found = evaluate.sweep(X.questions(spark, d), X.query_entities(spark, d), X.entities(spark, d), X.relations(spark, d), configs)
+    parts = [r.entities.groupBy("qid").agg(F.count("*").alias("n")).select(F.lit(name).alias("config"), "qid", "n") for name, r in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
+_STATEFUL = {"decay": 0.3, "resource_threshold": 0.05, "max_steps": 4}
+_STATEFUL_SQL = _with(
+    X.GRAPH_SQL,
+    """s0 AS MATERIALIZED (SELECT DISTINCT qid, name, 1.0::DOUBLE AS resource FROM ask WHERE name IN (SELECT name FROM ent) UNION ALL
+  SELECT qid, name, round(score / max(score) OVER (PARTITION BY qid), 12) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, name) AS rn FROM (
+    SELECT a.qid, e.name, round((1 + list_dot_product(e.v, a.v) / (e.nrm * sqrt(list_dot_product(a.v, a.v)))) / 2, 12) AS score FROM ask a CROSS JOIN entn e
+    WHERE a.pos = 0 AND a.qid NOT IN (SELECT qid FROM ask WHERE name IN (SELECT name FROM ent)))) WHERE rn <= 5)""",
+    steps_sql(4, _STATEFUL["decay"], True, _STATEFUL["resource_threshold"]),
+)
+
+
+def _stateful(spark: SparkSession, d: str) -> retrieve.Retrieval:
+    settings = retrieve.Settings(mode="stateful", **_STATEFUL)
+    return retrieve.retrieve(X.questions(spark, d), X.query_entities(spark, d), X.entities(spark, d), X.relations(spark, d), settings)
+
+
+@query(_STATEFUL_SQL + "SELECT qid, name, round(resource, 6) AS resource FROM s4")
+def stateful_state(spark, d):
+    return _stateful(spark, d).state.select("qid", "name", _6("resource"))
+
+
+@query(
+    _STATEFUL_SQL.rstrip()
+    + "".join(f", c{i} AS (SELECT DISTINCT a.qid FROM s{i} a LEFT JOIN s{i - 1} b ON b.qid = a.qid AND b.name = a.name WHERE b.resource IS NULL OR b.resource <> a.resource)" for i in range(1, 5))
+    + " SELECT q.qid, CASE WHEN q.qid NOT IN (SELECT qid FROM s0) THEN 0 WHEN q.qid NOT IN (SELECT qid FROM c1) THEN 1 WHEN q.qid NOT IN (SELECT qid FROM c2) THEN 2 WHEN q.qid NOT IN (SELECT qid FROM c3) THEN 3 ELSE 4 END AS steps_taken FROM q"
+)
+def stateful_steps(spark, d):
+    """A question stops at its first step that changes nothing."""
+    return _stateful(spark, d).steps_taken
+
+
+@query(
+    STATE3 + "," + PATH_SQL + """ SELECT qid, rank, printf('[%.4f] ', w) || names[1] || array_to_string(list_transform(range(1, len(names)), lambda i: CASE WHEN fwd[i] THEN ' --[' || rels[i] || ']--> ' ELSE ' <--[' || rels[i] || ']-- ' END || names[i + 1]), '') AS line FROM toppaths"""
+)
+def weighted_paths(spark, d):
+    state, seeds, edges, _, _ = _state(spark, d)
+    return paths.collect_paths(state, seeds, edges).select("qid", "rank", T.weighted_path_text("names", "edges", "path_weight").alias("line"))
+
+
 # --- text functions
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -348,6 +418,16 @@ def graph_stats(spark, d):
     return ingest.build_graph(ex, x).stats()
 
 
+@query(ORACLE_SQL["graph_stats"])
+def reloaded_graph(spark, d):
+    """A graph written over another one in the same place."""
+    ex, _, x = _ingested(spark, d)
+    path = f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    ingest.build_graph(ex.limit(3), x).write(path)
+    ingest.build_graph(ex, x).write(path)
+    return ingest.Graph.read(spark, path).stats()
+
+
 @query(TEXT + """, n AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS n FROM (SELECT DISTINCT seq FROM para))
 SELECT 'q_' || n.n AS question_id, 'question ' || p.seq AS question, 'answer ' || p.seq AS answer, coalesce(string_agg(p.id, ',' ORDER BY p.pos) FILTER (WHERE p.is_supporting), '') AS supporting_paragraphs FROM para p JOIN n ON n.seq = p.seq GROUP BY n.n, p.seq""")
 def ground_truth(spark, d):
@@ -397,11 +477,14 @@ def adapter_paragraphs(spark, d):
     return out.select("seq", F.size("paragraphs").cast("bigint").alias("n"), F.array_join(shape, ",").alias("shape"))
 
 
-@query(
+_CONTEXT_FORM_SQL = (
     TEXT + r""", s AS (SELECT seq, pos, title, is_supporting, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS t FROM para),
 sup AS (SELECT DISTINCT seq, title FROM para WHERE is_supporting), j AS (SELECT s.*, sup.title IS NOT NULL AS good FROM s LEFT JOIN sup ON sup.seq = s.seq AND sup.title = s.title WHERE len(s.t) > 0)
 SELECT seq, 'answer ' || seq AS answer, string_agg(title || ':' || length(array_to_string(t, ' ')) || ':' || CASE WHEN good THEN 1 ELSE 0 END, ',' ORDER BY pos) AS shape FROM j GROUP BY seq"""
 )
+
+
+@query(_CONTEXT_FORM_SQL)
 def adapter_context(spark, d):
     ex = X.examples(spark, d)
     raw = ex.select(
@@ -413,6 +496,59 @@ def adapter_context(spark, d):
     return qa.context_examples(raw).select("seq", "answer", F.array_join(shape, ",").alias("shape"))
 
 
+@query(_CONTEXT_FORM_SQL)
+def adapter_context_lists(spark, d):
+    """The same with the context as a list of pairs and the supporting facts as a list, a blank title among the former."""
+    pair = lambda p: F.struct(p["title"].alias("title"), F.split(p["text"], "\n", -1).alias("sentences"))
+    blank = F.array(F.struct(F.lit(" ").alias("title"), F.array(F.lit("x")).alias("sentences")))
+    facts = F.transform(F.filter("paragraphs", lambda p: p["is_supporting"]), lambda p: F.struct(p["title"].alias("title")))
+    raw = X.examples(spark, d).select("seq", "question", "answer", F.concat(F.transform("paragraphs", pair), blank).alias("context"), facts.alias("supporting_facts"))
+    shape = F.transform("paragraphs", lambda p: F.concat_ws(":", p["title"], F.length(p["text"]), p["is_supporting"].cast("int")))
+    return qa.context_examples(raw).select("seq", "answer", F.array_join(shape, ",").alias("shape"))
+
+
+@query("SELECT doc_id, lang FROM documents")
+def dataset_scan(spark, d):
+    return qa.read_dataset(spark, f"{d}/documents.parquet", "doc_id bigint, lang string")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND n_chars > 500")
+def run_query(spark, d):
+    X.table(spark, d, "documents").createOrReplaceTempView("quillgraph_documents")
+    return qa.run_query(spark, "SELECT doc_id, n_chars FROM quillgraph_documents WHERE lang = :lang AND n_chars > :least", lang="en", least=500)
+
+
+@query("SELECT DISTINCT source || '__' || substr(sha256(source || chr(10) || text), 1, 10) AS id, sha256('**' || source || '**: ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS new_hash FROM documents WHERE text <> ''")
+def stale_paragraphs(spark, d):
+    stored = graph.upsert_paragraphs(X.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("title"), "text"))
+    return ingest.pending_paragraphs(stored).select("id", "new_hash")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'h' || c_custkey END AS hash FROM customer")
+def embedding_write_back(spark, d):
+    c = X.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.upper("c_mktsegment").alias("c_mktsegment"), F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("hash"))
+    return graph.write_back(c, new, "c_custkey", ["c_mktsegment", "hash"])
+
+
+@query(TEXT + "SELECT DISTINCT name FROM tnames WHERE length(title) % 2 = 0")
+def skipped_extractions(spark, d):
+    """Titles of odd length got no extraction at all."""
+    _, p, x = _ingested(spark, d)
+    none = F.length("title") % 2 == 1
+    given = x.withColumns({c: F.when(none, None).otherwise(F.col(c)) for c in ("entities", "triples")})
+    return graph.upsert_entities(ingest.entity_rows(p, given)).select("name")
+
+
+@query(TEXT + "SELECT DISTINCT CASE WHEN length(subject) % 3 = 0 THEN '' ELSE subject END AS src, object AS dst FROM trip")
+def blank_endpoints(spark, d):
+    """Blank ends of triples are an entity with an empty name."""
+    ex, _, x = _ingested(spark, d)
+    blank = lambda t: F.struct(F.when(F.length(t["subject"]) % 3 == 0, "").otherwise(t["subject"]).alias("subject"), t["relation"].alias("relation"), t["object"].alias("object"))
+    g = ingest.build_graph(ex, x.withColumn("triples", F.transform("triples", blank)))
+    return g.relations.join(g.entities.select(F.col("name").alias("src")), "src", "left_semi").select("src", "dst")
+
+
 # --- resolution
 
 _ENT_SQL = TEXT + ", er AS (SELECT seen * 1000000 + i AS seq, name, type, description FROM ents)"
@@ -556,3 +692,71 @@ def retrieval_counts(spark, d):
     r = retrieve.retrieve(q, a, X.entities(spark, d), X.relations(spark, d))
     rows = evaluate.evaluation_rows(q.select(F.col("qid").alias("question_id")), r, a)
     return rows.select(F.col("question_id").alias("qid"), "num_paths", "num_entities", "num_seeds", "extracted_entities")
+
+
+@query(ANS + "SELECT seq, 'Question: ' || question || chr(10) || 'Answer: ' || ground_truth || '.' AS prompt FROM ans")
+def prompt_text(spark, d):
+    return X.answers(spark, d).select("seq", T.prompt("Question: {q}\nAnswer: {a}.", q=F.col("question"), a=F.col("ground_truth")).alias("prompt"))
+
+
+@query(ANS + "SELECT question_id, config, prediction, em, round(f1, 6) AS f1 FROM scored")
+def csv_round_trip(spark, d):
+    """Every configuration's rows written as CSV and read together."""
+    rows = evaluate.evaluation_rows(_scored(spark, d).where("config IS NOT NULL")).join(X.answers(spark, d).select("question_id", "config"), "question_id")
+    path = f"{shared_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    rows = cut(rows)
+    for c in ("0", "1", "2", "3"):
+        evaluate.write_csv(rows.where(F.col("config") == c).drop("config"), path, c)
+    return evaluate.read_csv(spark, path).select("question_id", "config", F.coalesce("prediction", F.lit("")).alias("prediction"), "em", _6("f1"))
+
+
+@query("WITH l AS (SELECT event_type AS config, avg(value) AS m FROM events GROUP BY event_type) SELECT row_number() OVER (ORDER BY m, config) AS place, config FROM l")
+def ordered_latency(spark, d):
+    e = X.table(spark, d, "events").select(F.col("event_type").alias("config"), F.col("value").alias("retrieval_s"))
+    numbered = evaluate.latency(e).withColumn("at", F.monotonically_increasing_id())
+    return numbered.select(F.row_number().over(Window.orderBy("at")).alias("place"), "config")
+
+
+@query(ANS + "SELECT seq, CASE WHEN contains(question, 'x') THEN NULL ELSE 're: ' || question END AS prediction, CASE WHEN contains(question, 'x') THEN 'no x please' END AS error, CASE WHEN contains(question, 'x') THEN NULL ELSE 3 END AS total_tokens FROM ans")
+def isolated_errors(spark, d):
+    """A question that the model fails on is reported; the others are answered."""
+    a = X.answers(spark, d).select("seq", "question", F.lit("p").alias("paths_text"), F.lit("d").alias("descriptions_text"))
+    return M.answer(a, X.PickyGenerator()).select("seq", "prediction", "error", "total_tokens")
+
+
+@query(ANS + "SELECT seq, CASE WHEN trim(prediction) = '' THEN 0.0 WHEN lower(trim(prediction)) = lower(trim(ground_truth)) THEN 1.0 ELSE 0.0 END::DOUBLE AS llm_accuracy FROM ans")
+def judged_answers(spark, d):
+    return M.judged(X.answers(spark, d), M.StubJudge()).select("seq", "llm_accuracy")
+
+
+@query(
+    r"""WITH f AS (SELECT doc_id, regexp_extract_all(substr(text, 1, 200), '[A-Z][a-z]{3,}(?: [a-z]+)?') AS n FROM documents)
+SELECT doc_id, len(n) AS n_entities, greatest(len(n) - 1, 0) AS n_triples, coalesce(n[1], '') AS first_name FROM f"""
+)
+def model_extract(spark, d):
+    docs = X.table(spark, d, "documents").select("doc_id", F.col("text").alias("doc_text"))
+    e = M.extract(docs, M.StubExtractor())
+    return e.select("doc_id", F.size("entities").cast("bigint").alias("n_entities"), F.size("triples").cast("bigint").alias("n_triples"), F.coalesce(F.get("entities", F.lit(0))["name"], F.lit("")).alias("first_name"))
+
+
+@query(r"""WITH f AS (SELECT DISTINCT text AS question, regexp_extract_all(text, '[A-Z][a-z]{3,}') AS n FROM conversations WHERE role = 'user')
+SELECT question, unnest(list_transform(n, lambda x: lower(x))) AS name, generate_subscripts(n, 1) - 1 AS pos FROM f""")
+def question_entities(spark, d):
+    asked = X.table(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("question")).distinct()
+    found = M.found_entities(asked, M.StubQuestionEntities())
+    return M.listed_entities(asked.withColumn("qid", F.col("question")), found).select(F.col("qid").alias("question"), "name", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("SELECT DISTINCT text, 64 AS dims FROM conversations")
+def cached_embeddings(spark, d):
+    """Texts of one role are in the cache, so only the others are embedded; every text has its vector."""
+    texts = X.table(spark, d, "conversations").select("role", "text")
+    _, cache = M.embed_cached(texts.where("role = 'user'"), spark.createDataFrame([], "key string, embedding array<double>"), M.StubEmbedder(), "stub")
+    vectors, _ = M.embed_cached(texts, cache, M.StubEmbedder(), "stub")
+    return vectors.select("text", F.size("embedding").alias("dims"))
+
+
+@query(_COMP_SQL + ", g AS (SELECT cluster, list(node) AS members FROM comp GROUP BY cluster) SELECT (SELECT n FROM (SELECT unnest(members) AS n) ORDER BY length(n) DESC, n DESC LIMIT 1) AS canonical_name, len(members) AS n FROM g")
+def resolved_clusters(spark, d):
+    found = resolve.clusters(resolve.subset_pairs(resolve.dominant_types(_entity_list(spark, d))))
+    return M.resolve_clusters(found, M.StubResolver()).select("canonical_name", F.size("members").cast("bigint").alias("n"))

@@ -47,11 +47,30 @@ def test_load_retrieve_answer_evaluate(spark, tmp_path):
     for s in (Settings("one", max_steps=1), Settings("vector", naive_vector=True)):
         assert ev.run_config(s, n_eval=2).means().first().n == 2
     assert {r.config for r in ev.summary().collect()} == {"one", "vector"}
-    assert len(ev.benchmark_retrieval([Settings("one", max_steps=1)])) == 1
+    written = evaluate.read_csv(spark, str(tmp_path / "csv")).where("config = 'one'").collect()
+    assert all(r.retrieval_s > 0 and r.generation_s > 0 for r in written)
+    timed = ev.benchmark_retrieval([Settings("one", max_steps=1), Settings("never-run", max_steps=1)], n_eval=1)
+    assert [(t["config"], t["questions"], t["patched"]) for t in timed] == [("one", 1, True), ("never-run", 1, False)]
+    patched = {r.question_id: r.retrieval_s for r in evaluate.read_csv(spark, str(tmp_path / "csv")).where("config = 'one'").collect()}
+    assert patched["q_0"] == pytest.approx(timed[0]["seconds_per_question"]) and patched["q_1"] == written[0].retrieval_s
+    assert [(r.workers, r.matches_serial, r.questions) for r in ev.speedups(Settings(max_steps=1), (1, 2)).collect()] == [(1, 2, 2), (2, 2, 2)]
+    assert ev.run_config(Settings("one", max_steps=1), report_every=1).progress().count() == 2
+    # Both configurations, the benchmark and the table asked about two questions, and the model was asked once for each.
+    assert spark.read.parquet(str(tmp_path / "csv/_cache/query_entities")).count() == 2
     with pytest.raises(ValueError):
         ev.run_config(Settings(mode="stateful"), max_workers=2)
 
 
+def test_first_questions_and_batches(spark, tmp_path):
+    q = spark.createDataFrame([(f"q_{i}",) for i in (10, 2, 0, 100, 1)] + [("other",)], "qid string")
+    assert [r.qid for r in evaluate.first_questions(q, 3).collect()] == ["q_0", "q_1", "q_2"]
+    assert evaluate.first_questions(q, None).count() == 6 and evaluate.first_questions(q, 6).collect()[-1].qid == "other"
+    assert [r.qid for r in evaluate.first_questions(q.withColumn("seq", -F.length("qid")), 1).collect()] == ["q_100"]
+    ex = spark.createDataFrame(EX, EX_SCHEMA)
+    once = GraphLoader(spark, str(tmp_path / "a")).extract(ex).orderBy("title").collect()
+    assert GraphLoader(spark, str(tmp_path / "b")).extract(ex, save_every=1).orderBy("title").collect() == once and len(once) == 3
+
+
 class Failing:
     def generate(self, question, paths, descriptions):
         if "Omega" in question:
@@ -75,6 +94,8 @@ def test_retries():
         return "done"
 
     assert M.retried(call, sleep=waits.append) == "done" and waits == [2.0, 4.0]
+    calls.clear(), waits.clear()
+    assert M.retried(call, base=5.0, sleep=waits.append) == "done" and waits == [5.0, 10.0]
     with pytest.raises(ZeroDivisionError):
         M.retried(lambda: 1 / 0, sleep=waits.append)
     with pytest.raises(M.Throttled):

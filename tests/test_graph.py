@@ -8,6 +8,7 @@ from quillgraph.operators import ingest
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.paths import all_paths, collect_paths, deduplicate_paths
 from quillgraph.operators.retrieve import Settings, nearest, propagate, retrieve, seeds, seeds_stateful, top_entities, vector_only
+from quillgraph.storage import hinted, table_bytes
 
 # a-b both ways, a loop, c without a vector, f far off
 VECTORS = {"a": [1.0, 0.0], "b": [0.8, 0.6], "c": None, "d": [-1.0, 0.1], "e": [0.6, 0.8], "f": [0.0, 0.0]}
@@ -151,6 +152,8 @@ def test_retrieve_modes(spark, graph, questions):
     assert sorted(map(str, same.entities.collect())) == sorted(map(str, r.entities.collect()))
     with pytest.raises(ValueError):
         Settings(mode="other")
+    assert Settings("x", max_steps=2, query_aware=False).describe() == "[x] steps=2, decay=0.7, uniform, threshold=0.01"
+    assert Settings("y", naive_vector=True).describe() == "[y] naive vector search, top_k=30"
 
 
 def test_top_entities(spark, graph):
@@ -172,9 +175,52 @@ def test_components(spark):
     for n in parent:
         low[find(n)] = min(n, low.get(find(n), n))
     assert got == {n: low[find(n)] for n in parent}
+    joined = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src int, dst int"), broadcast_bytes=-1).collect()}
+    assert joined == got
     assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_hub_component(spark):
+    """A hub in the middle of the order, so that its minimum has to reach all its neighbours; sent out and joined."""
+    edges = spark.range(3000).select(F.lit(1500).alias("src"), F.col("id").alias("dst"))
+    for limit in (1 << 20, -1):
+        found = connected_components(edges, broadcast_bytes=limit)
+        assert found.count() == 3000 and found.where("component <> 0").count() == 0
+
+
+def test_hinted(spark):
+    df = spark.createDataFrame([("a", [1.0] * 100, 1, (2, "xy"))] * 10, "s string, v array<double>, i int, t struct<a:int,b:string>")
+    size = table_bytes(df)
+    assert 8000 < size < 10_000 and table_bytes(df.limit(0)) == 0
+    plan = lambda limit: hinted(df, limit)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(size).lower() and "broadcast" not in plan(size - 1).lower()
+
+
+def test_resources_do_not_follow_the_order_of_sums(spark, graph, questions):
+    """0.1 + 0.2 and 0.3 are one resource: neither passes anything to the other, whichever was summed first."""
+    entities, _ = graph
+    links = spark.createDataFrame([("x", "s", "r"), ("y", "s", "r"), ("s", "t", "r")], "src string, dst string, relation string")
+    start = spark.createDataFrame([("q", "x", 0.1), ("q", "y", 0.2), ("q", "t", 0.3)], "qid string, name string, resource double")
+    edges = G.adjacency(links)
+    after = propagate(start, edges, questions, entities, 1, 1.0, 0.05, False)
+    assert {r.name: r.resource for r in after.collect()} == {"x": 0.1, "y": 0.2, "t": 0.3, "s": 0.6}
+    mid = spark.createDataFrame([("q", "s", 0.1 + 0.2), ("q", "t", 0.3)], "qid string, name string, resource double")
+    still = {r.name: r.resource for r in propagate(mid, edges, questions, entities, 1, 0.1, 0.05, False).where("name IN ('s', 't')").collect()}
+    assert still == {"s": 0.3, "t": 0.3}
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Small blocks and groups of queries give what one product of all gives."""
+    rng = random.Random(21)
+    entities = spark.createDataFrame([(f"n{i}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)], "name string, description_embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(9)], "qid string, embedding array<double>")
+    whole = sorted(tuple(r) for r in nearest(asked, entities, 5).collect())
+    import quillgraph.operators.retrieve as R
+
+    monkeypatch.setattr(R, "QUERY_ROWS", 4)
+    assert sorted(tuple(r) for r in nearest(asked, entities, 5).collect()) == whole
+
+
 EXAMPLES = [
     (0, "q?", "a", [("T", "Alpha Beta met gamma.", True), ("U", "Nothing here.", False), ("T", "Alpha Beta met gamma.", True)]),
     (1, "r?", "b", [("T", "Another text.", False), (None, None, None)]),

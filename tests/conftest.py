@@ -15,6 +15,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")  # queries here are too short for more compiling
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )

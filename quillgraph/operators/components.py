@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", b
     with the logarithm of the component size. Of either star, the minima are sent out up to broadcast_bytes and joined beyond.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    e = cut(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    ends = cut(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())  # edges are computed once
+    e = ends.where("u <> v")
     loops = ends.where("u = v").select(F.col("u").alias("node"))
     mark = _mark(e)
     while mark[0]:

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from quillgraph.llm.textkit import U64, Lines, Prefix, mix, signed, slices, text_column
+from quillgraph.llm.textkit import U64, Lines, Prefix, mix, signed, slices, text_column, unused
 from quillgraph.operators.components import connected_components
-from quillgraph.storage import cut
+from quillgraph.storage import BROADCAST_BYTES, cut, hinted, stored
 
 #: Largest edit distance, in characters, between lines that count as the same.
 TAU = 2
@@ -331,7 +331,7 @@ def _usable(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def similar_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def similar_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(a, b): keys of all pairs of different lines of at least min_chars characters within tau edits or with one stretch changed, a < b, each once."""
     texts = _usable(docs).select("text")
 
@@ -340,7 +340,7 @@ def similar_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     candidates = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _meet(it, _flips(tau)), VERIFIED_SCHEMA).distinct())
     keys = candidates.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     n = keys.count()
-    if n <= BROADCAST_KEYS:
+    if n <= broadcast_keys:
         wanted = np.sort(keys.toArrow()["line"].to_numpy().view(U64)) if n else np.zeros(0, U64)
         shared = docs.sparkSession.sparkContext.broadcast(wanted)
         text = texts.mapInArrow(lambda it: _texts(it, min_chars, shared), "line bigint, text string")
@@ -351,35 +351,40 @@ def similar_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     return both.mapInArrow(lambda it: _verify(it, tau), VERIFIED_SCHEMA)
 
 
-def duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no): every line that repeats an earlier one, with the first of its group.
 
     Lines are split at newlines and compared as they are, in characters; those under min_chars characters never take part,
-    and neither do rows whose doc_id or text is null. Within a document, lines are numbered from 0. Groups are
+    and neither do rows whose doc_id or text is null. Very long lines and texts are compared whole. Within a document, lines are numbered from 0. Groups are
     transitive; the occurrence with the smallest (doc_id, line_no) is kept, and of repeated rows with one doc_id only
-    the place counts, so they lose the same lines. An empty table gives an empty result; other columns are not read.
-    """
-    places = _usable(docs).mapInArrow(lambda it: _places(it, min_chars), "line bigint, doc_id bigint, line_no int")
-    pairs = similar_lines(docs, tau, min_chars)
-    groups = connected_components(pairs, "a", "b").select(F.col("node").alias("line"), F.col("component").alias("__group"))
-    exact = places.distinct().withColumn("__n", F.count("*").over(Window.partitionBy("line")))
-    named = exact.join(cut(groups), "line", "left").where("__n > 1 OR __group IS NOT NULL").withColumn("__group", F.coalesce("__group", "line"))
-    first = F.min(F.struct("doc_id", "line_no")).over(Window.partitionBy("__group"))
-    out = named.withColumn("__first", first).where("doc_id <> __first.doc_id OR line_no <> __first.line_no")
-    return out.select("doc_id", "line_no", F.col("__first.doc_id").alias("kept_doc_id"), F.col("__first.line_no").alias("kept_line_no"))
-
+    the place counts, so they lose the same lines and are given once. An empty table gives an empty result; other columns are not read.
 
-def drop_duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+    The places of lines are stored once. Their firsts are a partial aggregate, so a line of which the corpus is full meets in no
+    single task; what repeats is sent to the places up to broadcast_bytes, and joined beyond.
+    """
+    places = stored(_usable(docs).mapInArrow(lambda it: _places(it, min_chars), "line bigint, doc_id bigint, line_no int"), "places")
+    groups = connected_components(similar_lines(docs, tau, min_chars, broadcast_keys), "a", "b", broadcast_bytes).select(F.col("node").alias("line"), F.col("component").alias("group"))
+    place = F.struct("doc_id", "line_no")
+    lines = places.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = cut(lines.join(hinted(cut(groups), broadcast_bytes), "line", "left").where("first <> last OR group IS NOT NULL").select("line", F.coalesce("group", "line").alias("group"), "first"))
+    firsts = cut(repeated.groupBy("group").agg(F.min("first").alias("kept")))
+    kept = cut(repeated.join(hinted(firsts, broadcast_bytes), "group").select("line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")))
+    out = places.join(hinted(kept, broadcast_bytes), "line").where("doc_id <> kept_doc_id OR line_no <> kept_line_no")
+    return out.select("doc_id", "line_no", "kept_doc_id", "kept_line_no").distinct()
+
+
+def drop_duplicate_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs without their repeated lines, n_chars (where docs has it) renewed.
 
     Documents that lose every non-blank line go; all others stay, with the remaining lines in order, also those with a
-    null or empty text or a null doc_id. Other columns pass through.
+    null or empty text or a null doc_id. Other columns pass through. The lines that go, by document, are sent out up to broadcast_bytes and joined beyond.
     """
-    drop = duplicate_lines(docs, tau, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop"))
-    joined = docs.join(drop, "doc_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    hit = F.col("__drop").isNotNull()
+    gone, key = unused(docs, "gone"), unused(docs, "key")
+    drop = cut(duplicate_lines(docs, tau, min_chars, broadcast_bytes=broadcast_bytes).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone)))
+    joined = docs.join(hinted(drop, broadcast_bytes), docs["doc_id"] == drop[key], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    hit = F.col(gone).isNotNull()
     out = joined.withColumn("text", F.when(hit, kept).otherwise(F.col("text"))).where(~hit | (F.trim(F.translate("text", "\n", " ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

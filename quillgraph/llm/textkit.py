@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 17
@@ -182,3 +183,11 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values[first[i]:first[i+1]], zero where a segment is empty."""
     sums = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name with as many underscores before it as make it a name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

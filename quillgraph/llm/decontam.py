@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quillgraph.llm.textkit import _BYTE_CODE, U64, WORD_BYTE, Prefix, raw, slices, text_column
+from quillgraph.storage import BROADCAST_BYTES, cut, hinted
 
 #: One error is allowed for so many bytes of an item.
 ERROR_BYTES = 16
@@ -85,86 +86,113 @@ def myers_find(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
-def errors(n: int, error_bytes: int = ERROR_BYTES) -> int:
+def errors(n: int | np.ndarray, error_bytes: int = ERROR_BYTES) -> int | np.ndarray:
     return n // error_bytes
 
 
 class Pieces:
-    """Items cut into pieces, and the hashed heads of the pieces by head length."""
-
-    def __init__(self, items: list[tuple[int, str]], error_bytes: int, min_item: int):
-        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= min_item]
-        heads: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, text) in enumerate(self.items):
-            n = errors(len(text), error_bytes) + 1
-            edges = [len(text) * p // n for p in range(n + 1)]
-            for a, b in zip(edges, edges[1:]):
-                q = max((h for h in HEADS if h <= b - a), default=b - a)
-                code = Prefix(_BYTE_CODE[np.frombuffer(text[a : a + q], np.uint8)]).of(np.array([0]), np.array([q]))[0]
-                heads[q][int(code)].append((k, a))
+    """Items cut into pieces, and the hashed heads of the pieces by head length, all in flat arrays.
+
+    Items of one normal form are one item here; ids has the item_id of each, from first[k] on for item k.
+    """
+
+    #: Slots of the sieve for a code: a sixteenth of them is set, and two places are looked at.
+    SIEVE = 16
+
+    def __init__(self, ids: np.ndarray, texts: pa.Array, error_bytes: int, min_item: int):
+        data, off = normal_bytes(texts)
+        size = np.maximum(np.diff(off) - 1, 0)  # without the last space
+        own: dict[bytes, list[int]] = defaultdict(list)
+        for i in np.flatnonzero(size >= min_item):
+            own[data[off[i] : off[i] + size[i]].tobytes()].append(int(ids[i]))
+        self.texts = list(own)
+        self.ids = np.array([i for group in own.values() for i in group], np.int64)
+        self.first = np.concatenate([[0], np.cumsum([len(group) for group in own.values()])]).astype(np.int64)
+        joined = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.most = errors(self.size, error_bytes)
+        begin = np.cumsum(self.size) - self.size
+        n = self.most + 1
+        item = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        start, end = self.size[item] * nth // n[item], self.size[item] * (nth + 1) // n[item]
+        head = end - start
+        for q in HEADS:  # the longest head that the piece has, or all of a shorter piece
+            head = np.where(end - start >= q, q, head)
+        prefix = Prefix(_BYTE_CODE[joined])
         self.tables = []
-        for q, table in heads.items():
-            codes = np.array(sorted(table), U64)
-            bits = max(16, len(codes).bit_length() + 7)
-            sieve = np.zeros(1 << bits, bool)
-            sieve[codes >> U64(64 - bits)] = True
-            self.tables.append((q, codes, [table[int(c)] for c in codes], sieve, U64(64 - bits)))
-
-    def hits(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """(positions, item, offset of the piece within the item)."""
-        if not self.tables:
-            return
-        prefix = Prefix(_BYTE_CODE[data])
-        for q, codes, owners, sieve, shift in self.tables:
+        for q in np.unique(head):
+            at = np.flatnonzero(head == q)
+            place = begin[item[at]] + start[at]
+            code = prefix.of(place, place + q)
+            order = np.argsort(code, kind="stable")
+            codes, first = np.unique(code[order], return_index=True)
+            bits = max(16, int(len(codes) * self.SIEVE - 1).bit_length())
+            sieve = np.zeros(1 << (bits - 3), np.uint8)
+            for slot in self._slots(codes, bits):
+                np.bitwise_or.at(sieve, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+            owners = item[at][order].astype(np.int32), start[at][order].astype(np.int32)
+            self.tables.append((int(q), codes, np.append(first, len(order)).astype(np.int32), *owners, sieve, bits))
+
+    @staticmethod
+    def _slots(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        mask = U64((1 << bits) - 1)
+        return (code >> U64(64 - bits)).astype(np.int64), (code & mask).astype(np.int64)
+
+    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, offset of the piece within the item) of all places in data where a piece's head stands."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        prefix = Prefix(_BYTE_CODE[data]) if self.tables else None
+        for q, codes, first, item, offset, sieve, bits in self.tables:
             n = len(data) - q + 1
             if n <= 0:
                 continue
             at = np.arange(n)
             code = prefix.of(at, at + q)
-            maybe = np.flatnonzero(sieve[code >> shift])
+            high = code >> U64(64 - bits)
+            maybe = np.flatnonzero((sieve[high >> U64(3)] >> (high & U64(7)).astype(np.uint8)) & 1)
+            low = self._slots(code[maybe], bits)[1]
+            maybe = maybe[((sieve[low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)]
             where = np.minimum(np.searchsorted(codes, code[maybe]), len(codes) - 1)
             real = codes[where] == code[maybe]
             maybe, where = maybe[real], where[real]
-            order = np.argsort(where, kind="stable")
-            maybe, where = maybe[order], where[order]
-            cuts = np.flatnonzero(np.diff(where, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(where)]):
-                for item, offset in owners[where[a]]:
-                    yield maybe[a:b], item, offset
+            count = (first[where + 1] - first[where]).astype(np.int64)
+            own = np.repeat(first[where].astype(np.int64), count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found.append((np.repeat(maybe, count), item[own].astype(np.int64), offset[own].astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def candidates(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, lowest diagonal, highest diagonal) where hits of an item in a row lie so close that they can be one place of it."""
+        position, item, offset = self.hits(data)
+        if not len(position):
+            return iter(())
+        row = np.searchsorted(off, position, "right") - 1
+        diagonal = position - offset - off[row]
+        order = np.lexsort((diagonal, item, row))
+        row, item, diagonal = row[order], item[order], diagonal[order]
+        apart = np.ones(len(row), bool)
+        apart[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > 2 * self.most[item[1:]])
+        heads = np.flatnonzero(apart)
+        return zip(row[heads].tolist(), item[heads].tolist(), diagonal[heads].tolist(), diagonal[np.append(heads[1:], len(row)) - 1].tolist())
 
 
 SCHEMA = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], shared, error_bytes: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     pieces: Pieces = shared.value
     for batch in batches:
         col, ids = text_column(batch), batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
         for a, b in slices(col):
             data, off = normal_bytes(col.slice(a, b - a))
-            starts: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for positions, item, offset in pieces.hits(data):
-                for row, at in zip(np.searchsorted(off, positions, "right") - 1, positions):
-                    starts[int(row), item].append(int(at) - offset)
-            found = []
-            for (row, item), diagonals in starts.items():
-                item_id, text = pieces.items[item]
-                most = errors(len(text), error_bytes)
-                whole = data[off[row] : off[row + 1]].tobytes()
-                low = high = None
-                best = None
-                for d in [*sorted(d - int(off[row]) for d in diagonals), None]:
-                    if low is not None and (d is None or d > high + 2 * most):
-                        begin = max(0, low - most)
-                        hit = myers_find(text, whole[begin : high + len(text) + most], most)
-                        if hit and (best is None or hit[0] < best[0]):
-                            best = (hit[0], max(0, begin + hit[1] - len(text)), begin + hit[1])
-                        low = None
-                    if low is None:
-                        low = d
-                    high = d
-                if best:
-                    found.append((ids[a + row], item_id, *best))
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for row, item, low, high in pieces.candidates(data, off):
+                text, most = pieces.texts[item], int(pieces.most[item])
+                begin = max(0, low - most)
+                hit = myers_find(text, data[off[row] + begin : min(off[row] + high + len(text) + most, off[row + 1])].tobytes(), most)
+                if hit and ((row, item) not in best or hit[0] < best[row, item][0]):
+                    best[row, item] = (hit[0], max(0, begin + hit[1] - len(text)), begin + hit[1])
+            found = [(ids[a + row], int(i), *place) for (row, item), place in best.items() for i in pieces.ids[pieces.first[item] : pieces.first[item + 1]]]
             if found:
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "item_id", "distance", "start", "end"])
@@ -176,6 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_bytes: int = ERROR
     distance is the smallest edit distance between the item and a part of the text, at most len(item) // error_bytes; end is where the
     first such part ends, and start lies len(item) before it (0 at least), in bytes of the text's normal form.
 
+    Very long texts are searched whole. Of places that are equally near, the first counts; items of the same text are each given.
     Nulls and texts without words match nothing, as do items of fewer than min_item bytes in normal form and rows with a null
     doc_id or item_id. Repeated rows are matched one by one and give repeated rows. Empty tables give an empty result; other
     columns are not read.
@@ -188,12 +217,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_bytes: int = ERROR
     passes = []
     for g in range(groups):
         own = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        shared = spark.sparkContext.broadcast(Pieces([(r[0], r[1]) for r in own.collect()], error_bytes, min_item))
-        passes.append(texts.mapInArrow(lambda it, shared=shared: _scan(it, shared, error_bytes), SCHEMA))
+        table = own.toArrow().combine_chunks()  # group_bytes of text, about
+        shared = spark.sparkContext.broadcast(Pieces(table["item_id"].to_numpy(), table["text"].combine_chunks(), error_bytes, min_item))
+        passes.append(texts.mapInArrow(lambda it, shared=shared: _scan(it, shared), SCHEMA))
     return reduce(DataFrame.unionByName, passes)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_bytes: int = ERROR_BYTES) -> DataFrame:
-    """docs without the documents that hold a benchmark item. Rows with a null doc_id or text stay; all columns do."""
-    gone = contaminated(docs, benchmark, error_bytes).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_bytes: int = ERROR_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without the documents that hold a benchmark item. Rows with a null doc_id or text stay; all columns do.
+
+    The ids that go are stored and sent out up to broadcast_bytes, so that the texts stay where they are; beyond, they are joined.
+    """
+    gone = cut(contaminated(docs, benchmark, error_bytes).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(hinted(gone, broadcast_bytes), docs["doc_id"] == gone["__gone"], "left_anti")

@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillgraph.llm.textkit import unused
+
 #: Share of a document's characters (blank lines aside) that failing lines may hold.
 MAX_LOST = 0.5
 MIN_BARS = 3
@@ -53,35 +55,29 @@ def line_fails(line: Column, words: Column) -> Column:
     )
 
 
-def quality_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
+def quality_lines(docs: DataFrame, max_lost: float = MAX_LOST, stats: bool = True) -> DataFrame:
     """docs that keep enough text, with the failing lines removed from text.
 
-    Columns are those of docs, with text and n_chars (where docs has it) renewed, and three more: n_lines
+    Columns are those of docs, with text and n_chars (where docs has it) renewed, and three more unless stats is false: n_lines
     (non-blank lines before), n_removed, and lost (share of their characters that was removed).
 
-    A null, empty or blank text has nothing to keep and is rejected. Blank lines are dropped and count for nothing.
-    Repeated rows are judged alike. Columns of docs named n_lines, n_removed or lost are replaced;
-    other columns, with nulls in any, pass through.
+    A null, empty or blank text has nothing to keep and is rejected; a very long one is judged whole, line by line. Blank lines are dropped and count for nothing.
+    Equal lines and repeated rows are judged alike; a document that loses just max_lost stays. Columns of docs named n_lines, n_removed or lost are
+    replaced by the statistics, and pass through where stats is false; other columns, with nulls in any, pass through. An empty table gives an empty result.
     """
     split = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     pairs = lambda ls: F.transform(ls, lambda x: F.struct(x.alias("x"), F.split(x, " ", -1).alias("w")))
     good = lambda ls: F.transform(F.filter(pairs(ls), lambda z: ~line_fails(z["x"], z["w"])), lambda z: z["x"])
     # A generator of one row: filters on its result stay above it, so that nothing is computed twice.
-    judged = docs.select("*", F.explode(F.transform(F.array(split), lambda ls: F.struct(ls.alias("all"), good(ls).alias("good")))).alias("__j"))
+    j = unused(docs, "judged")
+    judged = docs.select("*", F.explode(F.transform(F.array(split), lambda ls: F.struct(ls.alias("all"), good(ls).alias("good")))).alias(j))
     chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    lost = 1 - chars("__j.good") / chars("__j.all")
-    out = (
-        judged.where((F.size("__j.good") > 0) & (lost <= max_lost))
-        .withColumns(
-            {
-                "text": F.array_join("__j.good", "\n"),
-                "n_lines": F.size("__j.all").cast("long"),
-                "n_removed": (F.size("__j.all") - F.size("__j.good")).cast("long"),
-                "lost": F.round(lost, 6),
-            }
-        )
-        .drop("__j")
-    )
+    lost = 1 - chars(f"{j}.good") / chars(f"{j}.all")
+    kept = judged.where((F.size(f"{j}.good") > 0) & (lost <= max_lost)).withColumn("text", F.array_join(f"{j}.good", "\n"))
+    if stats:
+        n = F.size(f"{j}.all").cast("long")
+        kept = kept.withColumns({"n_lines": n, "n_removed": n - F.size(f"{j}.good").cast("long"), "lost": F.round(lost, 6)})
+    out = kept.drop(j)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

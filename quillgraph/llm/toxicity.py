@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillgraph.llm.textkit import U64, Words, signed, slices, text_column
 from quillgraph.storage import cut
@@ -27,9 +27,9 @@ PRIOR_EACH = 0.5
 PRIOR_CORPUS = 100.0
 #: Least z of a token's log-odds that lets it score above the drift.
 MIN_Z = 2.0
-#: Log-odds are cut off here, so that no single word outweighs a passage.
+#: A token's score is its log-odds up to this much, so that no single word outweighs a passage.
 MAX_SCORE = 6.0
-#: Segments of clean text are counted from this score on.
+#: The law of chance is measured on segments of clean text from this score on, and holds for such segments alone.
 COUNT_FROM = 3.0
 #: One labelled document in so many is kept from training and calibrates the statistics.
 HELD_OUT = 4
@@ -71,11 +71,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([signed(token), *map(pa.array, counts)], ["token", "n", "n_toxic", "n_clean"])
 
 
-def _with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _with_labels(docs: DataFrame, labels: DataFrame, broadcast_labels: int) -> DataFrame:
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("bigint").alias("toxic"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     known = known.withColumn("toxic", F.when(held, F.col("toxic") + 2).otherwise(F.col("toxic")))  # 2 and 3: clean and toxic, held out
-    return docs.join(F.broadcast(known) if labels.count() <= BROADCAST_LABELS else known, "doc_id", "left")
+    return docs.join(F.broadcast(known) if labels.count() <= broadcast_labels else known, "doc_id", "left")
 
 
 def _lookup(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -108,14 +108,14 @@ def _lookup(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 
 def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, n_tokens, position, token) of every word; rows are numbered, so that repeated documents stay apart."""
     for batch in batches:
-        col, ids = text_column(batch), batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).to_numpy()
+        col, number = text_column(batch), batch.column("row").to_numpy()
         for a, b in slices(col):
             words = Words(col.slice(a, b - a))
-            row = words.row + a
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row]), batch.column("toxic").take(pa.array(row)), pa.array(words.counts[words.row].astype(np.int64)), pa.array(words.position.astype(np.int64)), signed(words.hash >> U64(20))],
-                ["doc_id", "toxic", "n_tokens", "position", "token"],
+                [pa.array(number[words.row + a]), pa.array(words.counts[words.row].astype(np.int64)), pa.array(words.position.astype(np.int64)), signed(words.hash >> U64(20))],
+                ["row", "n_tokens", "position", "token"],
             )
 
 
@@ -172,30 +172,43 @@ def _segmented(batches: Iterator[pa.RecordBatch], drift: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("n_tokens"), *lists], ["doc_id", "toxic", "n_tokens", "starts", "ends", "scores"])
 
 
-def _hits(texts: DataFrame, tokens: DataFrame, n: int) -> DataFrame:
+def _hits(texts: DataFrame, tokens: DataFrame, n: int, broadcast_tokens: int) -> DataFrame:
     """Rows of HIT_SCHEMA; tokens: (token, score), n of them."""
-    if n <= BROADCAST_TOKENS:
+    if n <= broadcast_tokens:
         table = tokens.orderBy("token").toArrow()
         shared = texts.sparkSession.sparkContext.broadcast((table["token"].to_numpy().view(U64), table["score"].to_numpy()))
         return texts.mapInArrow(lambda it: _lookup(it, shared), HIT_SCHEMA)
-    each = texts.mapInArrow(_all_tokens, "doc_id bigint, toxic bigint, n_tokens bigint, position bigint, token bigint").join(tokens, "token")
-    listed = each.groupBy("doc_id", "toxic", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("position", "score"))).alias("x"))
-    return listed.select("doc_id", "toxic", "n_tokens", F.col("x.position").alias("positions"), F.col("x.score").alias("scores"))
+    rows = cut(texts.withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", "text").mapInArrow(_all_tokens, "row bigint, n_tokens bigint, position bigint, token bigint").join(tokens, "token")
+    listed = each.groupBy("row").agg(F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("position", "score"))).alias("x"))
+    named = rows.select("row", "doc_id", "toxic").join(listed, "row")
+    return named.select("doc_id", "toxic", "n_tokens", F.col("x.position").alias("positions"), F.col("x.score").alias("scores"))
+
+
+def expected_together(t: Column, r: Column) -> Column:
+    """About exp(-t) * t**(r - 1) / (r! * (r - 1)!), by sums of logarithms: the chance of r segments whose normalised scores add up to t."""
+    factorial = F.aggregate(F.sequence(F.lit(1), r), F.lit(0.0), lambda a, x: a + F.log(x))
+    return F.exp(-t + (r - 1) * F.log(F.greatest(t, F.lit(1.0))) - 2 * factorial + F.log(r))
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, max_expected: float = MAX_EXPECTED, min_z: float = MIN_Z, drift: float = DRIFT) -> DataFrame:
+def toxic_documents(
+    docs: DataFrame, labels: DataFrame, max_expected: float = MAX_EXPECTED, min_z: float = MIN_Z, drift: float = DRIFT, max_score: float = MAX_SCORE,
+    count_from: float = COUNT_FROM, broadcast_tokens: int = BROADCAST_TOKENS, broadcast_labels: int = BROADCAST_LABELS,
+) -> DataFrame:
     """(doc_id, n_tokens, expected, score, starts, ends, scores) of the documents that hold significant toxic passages.
 
     starts, ends and scores list the significant segments, by token position; score is their sum. expected is the number of
     documents of this length that clean text would give with the best segment or with all significant segments together, whichever
     is less; at most max_expected. Labels other than 0 and 1 count as none; where labels differ on a document, toxic holds.
+    A token scores at most max_score, and segments that score less than count_from are chance: the law is measured from there on.
 
     Without toxic or without clean labelled documents there is nothing to learn and the result is empty. Null, empty and wordless texts are
-    never toxic; rows with a null doc_id are left out; repeated rows are each counted and each given. Clashing column names do
-    not matter: only doc_id and text are read.
+    never toxic; very long texts are scanned whole, and the chance grows with their length; rows with a null doc_id are left out; repeated rows are each
+    counted and each given. Of equal scores none comes first: all significant segments are listed, by position. Clashing column names do
+    not matter: only doc_id and text are read. The lexicon is sent out up to broadcast_tokens and joined beyond, labels up to broadcast_labels.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    known = _with_labels(texts, labels)
+    known = _with_labels(texts, labels, broadcast_labels)
     counts = cut(known.select("text", "toxic").mapInArrow(_count, "token bigint, n bigint, n_toxic bigint, n_clean bigint").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n", "n_toxic", "n_clean"))))
     total, toxic, clean, kinds = (float(x or 0) for x in counts.agg(F.sum("n"), F.sum("n_toxic"), F.sum("n_clean"), F.count("*")).first())
     prior = PRIOR_EACH + PRIOR_CORPUS * F.col("n") / max(total, 1)
@@ -203,24 +216,23 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, max_expected: float = MA
     t, c = F.col("n_toxic") + prior, F.col("n_clean") + prior
     odds = F.log(t / (toxic + weight - t)) - F.log(c / (clean + weight - c))
     z = odds / F.sqrt(1 / t + 1 / c)
-    scored = counts.where(z >= min_z).select("token", F.least(odds, F.lit(MAX_SCORE)).alias("score"), (c / (clean + weight)).alias("p"))
+    scored = counts.where(z >= min_z).select("token", F.least(odds, F.lit(max_score)).alias("score"), (c / (clean + weight)).alias("p"))
     tokens = cut((scored if toxic and clean else scored.limit(0)).where(F.col("score") > 0))
     by_score = tokens.groupBy(F.round("score", 2).alias("score")).agg(F.sum("p").alias("p"), F.count("*").alias("n")).toPandas()
     scale = extreme_value_scale(by_score["p"].to_numpy(float), by_score["score"].to_numpy(float), drift)
-    found = cut(_hits(known, tokens.select("token", "score"), int(by_score["n"].sum())).mapInArrow(lambda it: _segmented(it, drift), FOUND_SCHEMA))
+    found = cut(_hits(known, tokens.select("token", "score"), int(by_score["n"].sum()), broadcast_tokens).mapInArrow(lambda it: _segmented(it, drift), FOUND_SCHEMA))
     # Of clean text, n words show about K * n * exp(-lambda * x) segments of score x or more. K by all held-out clean documents, with half a segment added.
     size = known.where("toxic = 2").select(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
-    seen = found.where("toxic = 2").select(F.explode("scores").alias("s")).where(F.col("s") >= COUNT_FROM).agg(F.count("*")).first()[0]
-    log_k = math.log((seen + 0.5) / max(size, 1)) + scale * COUNT_FROM
+    seen = found.where("toxic = 2").select(F.explode("scores").alias("s")).where(F.col("s") >= count_from).agg(F.count("*")).first()[0]
+    log_k = math.log((seen + 0.5) / max(size, 1)) + scale * count_from
     chance = lambda s: F.exp(F.lit(log_k) + F.log(F.col("n_tokens").cast("double")) - F.lit(scale) * s)
-    # Passages below COUNT_FROM are what clean text is full of; the law is not measured there, and they prove nothing.
-    z3 = F.filter(F.arrays_zip("starts", "ends", "scores"), lambda x: (x["scores"] >= COUNT_FROM) & (chance(x["scores"]) <= 1))
-    judged = found.withColumn("__s", z3).where(F.size("__s") > 0)
-    # The r best segments together (Karlin and Altschul): with T the sum of lambda * s - ln(K n), the chance is about exp(-T) * T**(r - 1) / (r! * (r - 1)!).
+    # Passages below count_from are what clean text is full of; the law is not measured there, and they prove nothing.
+    significant = F.filter(F.arrays_zip("starts", "ends", "scores"), lambda x: (x["scores"] >= count_from) & (chance(x["scores"]) <= 1))
+    judged = found.withColumn("__s", significant).where(F.size("__s") > 0)
+    # All of them together (Karlin and Altschul), with t the sum of lambda * s - ln(K n).
     score = F.aggregate("__s", F.lit(0.0), lambda a, x: a + x["scores"])
     r = F.size("__s")
-    t_sum = F.lit(scale) * score - r * (F.lit(log_k) + F.log(F.col("n_tokens").cast("double")))
-    together = F.exp(-t_sum + (r - 1) * F.log(F.greatest(t_sum, F.lit(1.0)))) / (F.factorial(F.least(r, F.lit(10))) * F.factorial(F.least(r, F.lit(10)) - 1))
+    together = expected_together(F.lit(scale) * score - r * (F.lit(log_k) + F.log(F.col("n_tokens").cast("double"))), r)
     best = chance(F.array_max("scores"))
     return (
         judged.withColumns({"expected": F.least(best, together), "score": score})

@@ -1,10 +1,13 @@
 """Operator 7, external merge of a web archive's capture index.
 
-Captures are index lines, ordered by (URL key, capture time, page). Every task sorts what it reads into runs of bounded size; the runs
-are range-partitioned by that order, and each partition merges the pieces of all runs with a loser tree, which costs one
-comparison per level for each line. Range boundaries may fall inside the history of one URL, so a hot URL spreads over partitions;
+Captures are index lines, ordered by (URL key, capture time, page). Every task sorts what it reads into runs of bounded size, which are
+stored: page bodies are read once, and reduced to digest and length before anything moves. The stored runs are range-partitioned by the
+order, into as many partitions as their number of lines needs, so that a partition's lines fit in memory however large the index is; each
+partition merges the pieces of all runs with a loser tree, which costs one comparison per level for each line. The merge also numbers the
+captures of a URL and compares digests. Range boundaries may fall inside the history of one URL, so a hot URL spreads over partitions;
 what a history needs from the partition before (captures so far, last digest) is one row a partition, carried over on the driver.
-Page bodies are reduced to digest and length before anything is shuffled.
+
+The merge is sequential by nature and runs in Python, line by line over the index, not over the pages.
 """
 
 from __future__ import annotations
@@ -14,12 +17,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quillgraph.storage import cut
+from quillgraph.storage import cut, remove, stored
 
 #: Captures in a sorted run.
 RUN_ROWS = 1 << 20
+#: Captures that a partition merges, about: the bounds of the partitions are sampled.
+PART_ROWS = 1 << 18
 #: Pages have no capture time; the synthetic one walks through a year in steps of this many seconds.
 YEAR_SECONDS, STEP_SECONDS = 31_536_000, 7919
 
@@ -117,7 +122,7 @@ class LoserTree:
             self.winner = i
 
 
-MERGED_SCHEMA = "urlkey string, ts string, page_id bigint, digest string, length bigint, part int, line bigint, nth bigint"
+MERGED_SCHEMA = "urlkey string, ts string, page_id bigint, digest string, length bigint, part int, line bigint, nth bigint, revisit boolean"
 
 
 def _sort_key(row: tuple) -> tuple:
@@ -158,11 +163,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows([p for _, p in sorted(zip(firsts, pieces), key=lambda x: x[0])])
 
     out: list[tuple] = []
-    before, nth = None, 0
+    before, digest, nth = None, None, 0
     for line, (_, row) in enumerate(LoserTree([ordered(p) for _, p in sorted(tables.items())])):
-        nth = nth + 1 if row[0] == before else 1
-        before = row[0]
-        out.append((*row, part, line, nth))
+        same = row[0] == before
+        nth = nth + 1 if same else 1
+        out.append((*row, part, line, nth, same and digest is not None and row[3] == digest))
+        before, digest = row[0], row[3]
         if len(out) == 1 << 14:
             yield _batch(out)
             out = []
@@ -171,23 +177,25 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-    names = [*COLUMNS, "part", "line", "nth"]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+    names = [*COLUMNS, "part", "line", "nth", "revisit"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
-def capture_index(pages: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def capture_index(pages: DataFrame, run_rows: int = RUN_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """(urlkey, ts, page_id, digest, length, capture_no, revisit, position): all captures in global order.
 
     capture_no counts the captures of one urlkey from 1; revisit tells that the capture before has the same digest; position is the
     place in the whole index, from 1. Order is by urlkey, ts, page_id, digest and length, nulls first, so ties are of equal rows only.
 
-    Rows without url or page_id are left out; a null body has a null digest, which is never a revisit. Repeated rows are captures of their own. An
-    empty table gives an empty result; other columns are not read.
+    Rows without url or page_id are left out; a null body has a null digest, which is never a revisit; an empty one has the digest of nothing and length 0,
+    and a very long one is digested whole. Repeated rows are captures of their own. An empty table gives an empty result; other columns are not read.
     """
     spark = pages.sparkSession
-    runs = captures(pages).mapInArrow(lambda it: _runs(it, run_rows), "urlkey string, ts string, page_id bigint, digest string, length bigint, run bigint")
-    merged = cut(runs.repartitionByRange(*ORDER).mapInArrow(_merge, MERGED_SCHEMA))
+    runs = stored(captures(pages).mapInArrow(lambda it: _runs(it, run_rows), "urlkey string, ts string, page_id bigint, digest string, length bigint, run bigint"), "runs")
+    parts = max(1, -(-runs.count() // part_rows))
+    merged = cut(runs.repartitionByRange(parts, *ORDER).mapInArrow(_merge, MERGED_SCHEMA))
+    remove(runs)
     ends = merged.groupBy("part").agg(F.count("*").alias("n"), F.min_by("urlkey", "line").alias("first"), F.max_by(F.struct("urlkey", "nth", "digest"), "line").alias("last")).orderBy("part").collect()
     carried, total, key, nth, digest = [], 0, None, 0, None
     for e in ends:  # one row a partition
@@ -198,15 +206,13 @@ def capture_index(pages: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
         nth = e["last"]["nth"] + (nth if same and e["last"]["urlkey"] == e["first"] else 0)
         key, digest = e["last"]["urlkey"], e["last"]["digest"]
     offsets = spark.createDataFrame(carried, "part int, before bigint, carried_key string, carried bigint, carried_digest string")
-    here = merged.join(F.broadcast(offsets), "part")
-    # The line before: in the same partition it is the one of line - 1, at the start it is what was carried.
-    previous = F.lag(F.struct("urlkey", "digest")).over(Window.partitionBy("part").orderBy("line"))
-    old_key = F.when(F.col("line") == 0, F.col("carried_key")).otherwise(previous["urlkey"])
-    old_digest = F.when(F.col("line") == 0, F.col("carried_digest")).otherwise(previous["digest"])
-    return here.select(
+    continued = F.col("urlkey") == F.col("carried_key")
+    # The line before is in the same partition, or, for its first line, the one that was carried.
+    again = F.when(F.col("line") == 0, F.coalesce(continued & (F.col("digest") == F.col("carried_digest")), F.lit(False))).otherwise(F.col("revisit"))
+    return merged.join(F.broadcast(offsets), "part").select(
         *COLUMNS,
-        (F.col("nth") + F.when(F.col("urlkey") == F.col("carried_key"), F.col("carried")).otherwise(0)).alias("capture_no"),
-        F.coalesce((old_key == F.col("urlkey")) & (old_digest == F.col("digest")), F.lit(False)).alias("revisit"),
+        (F.col("nth") + F.when(continued, F.col("carried")).otherwise(0)).alias("capture_no"),
+        again.alias("revisit"),
         (F.col("before") + F.col("line") + 1).alias("position"),
     )
 

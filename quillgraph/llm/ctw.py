@@ -28,7 +28,7 @@ MAX_DEPTH = 6
 GROUPS = 512
 #: Grams that a worker holds before it sums them and passes them on.
 COUNTED = 1 << 19
-#: Most grams in a table that is sent out; a worker's copy takes up to 68 bytes for each.
+#: Most grams in a table that is sent out; a worker's copy takes up to 32 bytes for each, and is built once.
 BROADCAST_GRAMS = 4_000_000
 
 _LOG2 = np.log(2.0)
@@ -181,22 +181,28 @@ def gram_costs(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 class CostTable:
-    """Code lengths by gram, in an open hash table that is looked up by whole arrays."""
+    """Code lengths by gram, in an open hash table of 12 bytes a slot that is at most three quarters full and looked up by whole arrays."""
+
+    #: No gram: grams have at most 56 bits.
+    FREE = np.uint64((1 << 64) - 1)
 
     def __init__(self, gram: np.ndarray, bits: np.ndarray):
-        self.shift = np.uint64(64 - max(12, int(2 * max(1, len(gram)) - 1).bit_length()))
-        self.keys = np.zeros(1 << (64 - int(self.shift)), np.uint64)
-        self.used = np.zeros(len(self.keys), bool)
-        self.bits = np.zeros(len(self.keys))
+        self.shift = np.uint64(64 - max(12, int(max(1, len(gram)) * 4 / 3).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), self.FREE, np.uint64)
+        self.bits = np.zeros(len(self.keys), np.float32)
+        for at in range(0, len(gram), 1 << 20):  # in parts, so that little is held beside the table
+            self._put(gram[at : at + (1 << 20)], bits[at : at + (1 << 20)])
+
+    def _put(self, gram: np.ndarray, bits: np.ndarray) -> None:
         todo, slot = np.arange(len(gram)), self._slot(gram)
         while len(todo):
-            free = ~self.used[slot]
+            free = np.flatnonzero(self.keys[slot] == self.FREE)
             at, first = np.unique(slot[free], return_index=True)
             put = todo[free][first]
-            self.keys[at], self.bits[at], self.used[at] = gram[put], bits[put], True
+            self.keys[at], self.bits[at] = gram[put], bits[put]
             left = np.ones(len(todo), bool)
-            left[np.flatnonzero(free)[first]] = False
-            todo, slot = todo[left], (slot[left] + 1) % len(self.keys)
+            left[free[first]] = False
+            todo, slot = todo[left], (slot[left] + 1) & (len(self.keys) - 1)
 
     def _slot(self, gram: np.ndarray) -> np.ndarray:
         return (mix(gram) >> self.shift).astype(np.int64)
@@ -206,13 +212,26 @@ class CostTable:
         slot = self._slot(gram)
         wrong = np.flatnonzero(self.keys[slot] != gram)
         while len(wrong):
-            slot[wrong] = (slot[wrong] + 1) % len(self.keys)
+            slot[wrong] = (slot[wrong] + 1) & (len(self.keys) - 1)
             wrong = wrong[self.keys[slot[wrong]] != gram[wrong]]
-        return self.bits[slot]
+        return self.bits[slot].astype(float)
+
+
+_built: tuple[object, CostTable] | None = None
+
+
+def _table(shared) -> CostTable:
+    """The table of a broadcast, built by the first task of a worker that needs it and kept for the others."""
+    global _built
+    value = shared.value
+    if _built is None or _built[0] is not value:
+        _built = None
+        _built = value, CostTable(*value)
+    return _built[1]
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Iterator[pa.RecordBatch]:
-    table = CostTable(*shared.value)
+    table = _table(shared)
     for batch in batches:
         col, ids = text_column(batch), batch.column(batch.schema.get_field_index("doc_id"))
         for a, b in slices(col):
@@ -238,7 +257,7 @@ def code_lengths(docs: DataFrame, depth: int = DEPTH, broadcast_grams: int = BRO
     """(doc_id, n_bytes, bits, bits_per_byte) of every document, under a model of all documents.
 
     Texts are UTF-8 bytes, read in full; a context that would reach before the text's start has zero bytes there. A null or empty text
-    has 0 bytes, 0 bits and a null bits_per_byte. A null doc_id is kept; repeated rows count as often as they come and are each given. An empty
+    has 0 bytes, 0 bits and a null bits_per_byte; very long texts cost in proportion. A null doc_id is kept; repeated rows count as often as they come and are each given. An empty
     table gives an empty result; other columns are not read.
     """
     if not 1 <= depth <= MAX_DEPTH:
@@ -247,7 +266,7 @@ def code_lengths(docs: DataFrame, depth: int = DEPTH, broadcast_grams: int = BRO
     costs = cut(gram_costs(texts, depth))
     if costs.count() <= broadcast_grams:
         table = costs.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy().astype(np.uint64), table["bits"].to_numpy()))
+        shared = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy().astype(np.uint64), table["bits"].to_numpy().astype(np.float32)))
         scored = texts.mapInArrow(lambda it: _score(it, shared, depth), "doc_id bigint, n_bytes bigint, bits double")
     else:
         rows = cut(texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "text", F.monotonically_increasing_id().alias("row")))

@@ -158,13 +158,17 @@ def _checked(batches: Iterator[pa.RecordBatch], words_of: dict[str, tuple], most
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "template", "start", "end", "errors"])
 
 
-def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, max_error: float = MAX_ERROR) -> DataFrame:
+def license_spans(
+    docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, max_error: float = MAX_ERROR, broadcast_rows: int = BROADCAST_ROWS, broadcast_spans: int = BROADCAST_SPANS
+) -> DataFrame:
     """(doc_id, template, start, end, errors): the licence texts that documents hold, by word position.
 
     Words are lower-case runs of letters and digits, numbered from 0. errors is the word edit distance between the
     template and the part of the text found, at most max_error of the template's words; end is where that part ends and start
     lies the template's length before it. All occurrences that share no words are found; of those that overlap, the nearest, the first of several.
 
+    Very long texts are read whole; a place that is as near to two templates is given for both. The templates are sent out up to broadcast_rows words and the
+    candidate spans up to broadcast_spans; beyond, either is joined.
     Nulls, empty texts and rows with a null doc_id give nothing, as do templates without words.
     Repeated rows give one result. An empty table gives an empty result; other columns are not read.
     """
@@ -175,7 +179,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: i
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     places = template_grams(spark, templates, most, k)
     sizes = sorted({run_votes(len(w), most[name], k)[0] for name, w in words_of.items()})
-    small = sum(map(len, words_of.values())) <= BROADCAST_ROWS
+    small = sum(map(len, words_of.values())) <= broadcast_rows
     matches = texts.mapInArrow(lambda it: _grams(it, sizes), "doc_id bigint, position int, gram bigint").join(F.broadcast(places) if small else places, "gram")
     votes = matches.groupBy("doc_id", "template", (F.col("position") - F.col("place")).alias("diagonal"), "least", "gap", "n_words").agg(F.collect_set("place").alias("places"))
     by = Window.partitionBy("doc_id", "template").orderBy("diagonal")
@@ -190,6 +194,6 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: i
         .agg(F.collect_list(F.struct("template", (F.col("first") - F.col("gap")).alias("low"), (F.col("last") + F.col("n_words") + F.col("gap")).alias("high"))).alias("spans"))
     )
     spans = cut(spans)
-    few = spans.count() <= BROADCAST_SPANS
+    few = spans.count() <= broadcast_spans
     held = texts.join(F.broadcast(spans) if few else spans, "doc_id")
     return held.mapInArrow(lambda it: _checked(it, words_of, most), "doc_id bigint, template string, start int, end int, errors int").distinct()

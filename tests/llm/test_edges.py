@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from quillgraph.llm.urllm import accepted_urls
 
 PROSE = "The quick brown fox jumps over the lazy dog near the quiet river bank today."
 LONG = " ".join(f"word{i % 5000}x{i % 7}" for i in range(60_000)) + "."
-CLASHES = ("key", "line", "toxic", "row", "gram", "bin", "item_id", "score", "component", "n_words", "lost")
+CLASHES = ("judged", "gone", "__gone", "group", "n_lines", "n_removed", "key", "line", "toxic", "row", "gram", "bin", "item_id", "score", "component", "n_words", "lost")
 ITEM = "benchmark question about seven purple elephants crossing the frozen northern lake"
 
 ROWS = [
@@ -84,6 +86,15 @@ def test_toxicity(docs, labels):
     assert toxic_documents(docs, labels).columns == ["doc_id", "n_tokens", "expected", "score", "starts", "ends", "scores"]
     for d, l in ((docs, labels), (docs, labels.limit(0)), (docs.limit(0), labels), (docs, labels.where("toxic = 0")), (docs, labels.where("toxic = 1"))):
         assert not {2, 3, 4} & {r.doc_id for r in toxic_documents(d, l).collect()}
+    # Repeated rows, ties and a long text, with words that enough labelled documents hold.
+    spark = docs.sparkSession
+    made = [(i, PROSE + (" stupid idiot stupid idiot" if i % 2 else "")) for i in range(60)]
+    made += [(1, made[1][1]), (100, LONG + " stupid idiot stupid idiot stupid idiot " + LONG), (101, LONG), (None, made[1][1])]
+    known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    out = toxic_documents(spark.createDataFrame(made, "doc_id bigint, text string"), known, max_expected=1.0)
+    found = sorted(r.doc_id for r in out.collect())
+    assert found == sorted([*range(1, 60, 2), 1, 100])
+    assert out.where("doc_id = 100").first().starts == [60_000] and out.where("doc_id = 1").distinct().count() == 1
 
 
 def test_decontamination(docs, benchmark):
@@ -108,7 +119,8 @@ def test_capture_index(spark, docs):
     out = capture_index(p).orderBy("position").collect()
     assert [r.position for r in out] == list(range(1, 10))
     assert [(r.capture_no, r.revisit) for r in out if r.page_id == 1] == [(1, False), (2, True)]
-    assert [(r.digest, r.length) for r in out if r.page_id == 2] == [(None, None)]
+    assert [(r.digest, r.length) for r in out if r.page_id == 2] == [(None, None)] and [r.length for r in out if r.page_id == 3] == [0]
+    assert [(r.digest, r.length) for r in out if r.page_id == 5] == [(hashlib.md5(LONG.encode()).hexdigest(), len(LONG))]
     assert capture_index(p.limit(0)).count() == 0
 
 
@@ -125,6 +137,10 @@ def test_url_filter(spark, docs):
     assert out.where("url IS NULL").count() == 0 and out.where("page_id = 1").count() == 2
     assert accepted_urls(p.limit(0)).count() == 0 and accepted_urls(p.withColumn("url", F.lit("http://spam.example/"))).count() == 0
     assert accepted_urls(p.withColumn("url", F.lit(""))).count() == p.count()
+    rows = [(i, f"https://news{i % 20}.example.org/{i}") for i in range(100)] + [(i, f"https://spam{i % 20}.example.org/{i}") for i in range(100, 200)]
+    rows += [(200, "https://news3.example.org/" + "12345" * 20_000), (201, "https://spam3.example.org/9"), (202, "https://spam3.example.org/9"), (None, "https://news1.example.org/1")]
+    kept = accepted_urls(spark.createDataFrame(rows, "page_id bigint, url string"))
+    assert sorted(r.page_id for r in kept.where("page_id IS NOT NULL").collect()) == [*range(100), 200] and kept.where("page_id IS NULL").count() == 1
 
 
 def test_packing(docs):
@@ -135,6 +151,16 @@ def test_packing(docs):
     assert best_fit_packing(docs.limit(0)).count() == 0 and best_fit_packing(docs.where("text = ''")).count() == 0
 
 
+def test_stages_keep_what_clashes(spark, docs, benchmark, tmp_path):
+    """Columns that are named like what the operators add come back with their values and types."""
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    mine = docs.withColumns({c: F.lit(f"mine {c}") for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, mine, str(tmp_path))
+        assert out.schema.simpleString() == mine.schema.simpleString(), name
+        assert [tuple(r) for r in out.select(*CLASHES).distinct().collect()] == [tuple(f"mine {c}" for c in CLASHES)], name
+
+
 def test_stages(spark, docs, benchmark, tmp_path):
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
     for d in (docs, docs.limit(0)):

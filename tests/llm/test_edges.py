@@ -125,7 +125,9 @@ def test_capture_index(spark, docs):
 
 
 def test_simhash(docs):
-    assert sorted(tuple(r) for r in near_duplicates(docs).collect()) == [(1, 6, 0)]
+    found = near_duplicates(docs)
+    assert sorted(tuple(r) for r in found.where("n_links > 0").collect()) == [(1, 1, 1), (6, 1, 1)]
+    assert found.where("n_links = 0 AND class_id <> doc_id").isEmpty() and found.count() == found.select("doc_id").distinct().count()
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 1 and kept.where("doc_id = 6").count() == 0
     assert near_duplicates(docs.limit(0)).count() == drop_near_duplicates(docs.limit(0)).count() == 0

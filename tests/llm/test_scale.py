@@ -17,7 +17,7 @@ from quillgraph.llm.licenses import license_spans
 from quillgraph.llm.license_templates import TEMPLATES
 from quillgraph.llm.linedup import STRETCH_CHARS, TAU, drop_duplicate_lines, duplicate_lines, one_stretch, within
 from quillgraph.llm.packing import pack
-from quillgraph.llm.simhash import drop_near_duplicates, fingerprints, near_links, near_pairs
+from quillgraph.llm.simhash import BLOCKS, RADIUS, VantageTree, drop_near_duplicates, fingerprints, near_duplicates, near_links, near_pairs
 from quillgraph.llm.textkit import word_hashes
 from quillgraph.llm.toxicity import DRIFT, HELD_OUT, PRIOR_CORPUS, PRIOR_EACH, expected_together, extreme_value_scale, segments, toxic_documents
 from quillgraph.llm.urllm import SEEDS, accepted_urls, threshold
@@ -241,6 +241,30 @@ def test_chunks_and_links(spark):
     assert rows(connected_components(links, "doc_id_a", "doc_id_b")) == rows(connected_components(near_pairs(prints), "doc_id_a", "doc_id_b"))
 
 
+def test_rows_follow_the_documents(spark):
+    """A cluster of near copies takes a row for each document, not for each pair, in one tile or in many, and with few links held at a time."""
+    words = [f"word{i}" for i in range(400)]
+    docs = spark.createDataFrame([(d, " ".join(words[:d] + words[d + 1 :])) for d in range(120)] + [(d + 1000, " ".join(words)) for d in range(3)], DOC)
+    found = {r.doc_id: r for r in near_duplicates(docs).collect()}
+    assert len(found) == 123 and {r.class_id for r in found.values()} == {0} and sum(r.n_links for r in found.values()) > 2000
+    assert rows(near_duplicates(docs, shard_rows=15)) == rows(near_duplicates(docs))
+
+
+def test_few_comparisons():
+    """The share of pairs compared falls as trees grow, and leaves reach every value within the radius."""
+    rng = np.random.default_rng(36)
+    share = []
+    for bits in (7, 10):
+        trees = [VantageTree(bits, np.full(1 << bits, 32), RADIUS // BLOCKS, 32, k) for k in range(BLOCKS)]
+        share.append(sum(len(r) for t in trees for r in t.reach) / 4**bits)
+        v = rng.integers(0, 1 << bits, 50)
+        for tree in trees:
+            leaf = np.searchsorted(tree.first, tree.rank[v], "right") - 1
+            near = np.bitwise_count(v[:, None] ^ v) <= RADIUS // BLOCKS
+            assert all(tree.rank[w] in tree.reach[leaf[i]] for i in range(50) for w in v[near[i]])
+    assert share[1] < share[0] < 1 and share[1] < 0.25
+
+
 # --- language model, URLs, packing
 
 

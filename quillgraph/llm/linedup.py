@@ -9,7 +9,8 @@ their hash, a sort, and a merge over the sorted runs. Rows carry a 64-bit parity
 few of its bits, so most false candidates end inside the merge, without their texts. The rest are verified with a banded bit-parallel edit distance.
 
 A line that differs in one stretch keeps nearly half of its characters at its start or its end, so one key for each, of a length that goes by
-classes of line lengths, is in the same shuffle; such candidates are verified by their common start and end.
+classes of line lengths, is in the same shuffle. Their rows carry, in place of the sketch, small hashes of SECTIONS starts and as many ends of growing length: lines
+that differ in one stretch share most of them, so most lines with changes apart from each other end inside the merge as well. The rest are verified by their common start and end.
 
 Alike lines are linked transitively; of each group the first occurrence, by (doc_id, line number), stays.
 """
@@ -30,6 +31,8 @@ from quillgraph.storage import BROADCAST_BYTES, cut, hinted, stored
 TAU = 2
 #: One stretch may differ by a character for so many of the shorter line.
 STRETCH_CHARS = 16
+#: Starts, and ends, of a line that the rows of its half keys tell apart, in two bits each; a section is a STRETCH_CHARS-th of the class's least length.
+SECTIONS = 15
 #: Shorter lines are left alone: at so few characters TAU edits make another sentence.
 MIN_CHARS = 20
 #: Largest set of line keys sent to every executor; beyond it, lines are joined with the keys instead.
@@ -95,19 +98,47 @@ def _probe_rows(prefix: Prefix, start: np.ndarray, length: np.ndarray, tau: int,
 _CLASSES = np.unique((STRETCH_CHARS * 1.25 ** np.arange(90)).astype(np.int64))
 
 
-def _half_rows(prefix: Prefix, start: np.ndarray, length: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray, U64]]:
-    """(line, key, probe bit) of starts and ends; probe rows also in the class below, where a shorter line may stand."""
+def _sections(prefix: Prefix, start: np.ndarray, length: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Two bits of a hash of each of a line's starts of 1 to SECTIONS sections, then of its ends; the top four bits are the sections by which it is longer than least."""
+    size, end = least // STRETCH_CHARS, start + length
+    out = np.minimum((length - least) * STRETCH_CHARS // least, 15).astype(U64) << U64(60)
+    for k in range(1, SECTIONS + 1):
+        out |= (prefix.of(start, start + k * size) & U64(3)) << U64(2 * (k - 1))
+        out |= (prefix.of(end - k * size, end) & U64(3)) << U64(2 * (SECTIONS + k - 1))
+    return out
+
+
+def _one_change(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lines of these sections may differ in one stretch only.
+
+    Such lines have n - n / STRETCH_CHARS characters or more in common at start and end, where n is the longer one's length. In sections that is 15 / 16 of n, less the
+    part of one that may be left over on either side. Where all starts or all ends are the same, what lies beyond them isn't known, and the pair passes.
+    """
+    different = a ^ b
+    low, high = (((different >> U64(s)) & U64((1 << 30) - 1) | U64(1 << 30)).astype(np.uint32) for s in (0, 30))
+    starts, ends = (np.bitwise_count((x & -x) - np.uint32(1)) // 2 for x in (low, high))  # zero bits before the first one
+    longer = np.maximum(a >> U64(60), b >> U64(60)).astype(np.int64)
+    return (starts + ends > SECTIONS - 2 + SECTIONS * longer // STRETCH_CHARS) | (starts == SECTIONS) | (ends == SECTIONS)
+
+
+def _half_rows(prefix: Prefix, start: np.ndarray, length: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray, U64, np.ndarray]]:
+    """(line, key, probe bit, sections) of starts and ends; probe rows also in the class below, where a shorter line may stand."""
     own = np.searchsorted(_CLASSES, length, "right") - 1
     low = _CLASSES[np.maximum(own, 0)]
     longer = np.flatnonzero((own > 0) & (low - 1 + (low - 1) // STRETCH_CHARS >= length))
     every = np.flatnonzero(length // STRETCH_CHARS > tau)
-    for rows, below, probe in ((every, 0, U64(0)), (every, 0, U64(1)), (longer, 1, U64(1))):
+    for rows, below, probes in ((every, 0, (U64(0), U64(1))), (longer, 1, (U64(1),))):
         least = _CLASSES[own[rows] - below]
         size = least * (STRETCH_CHARS - 1) // (2 * STRETCH_CHARS)
+        sections = _sections(prefix, start[rows], length[rows], least)
         for half, at in ((0, start[rows]), (1, start[rows] + length[rows] - size)):
-            yield rows, _key(prefix.of(at, at + size), 9 + half, least), probe
+            key = _key(prefix.of(at, at + size), 9 + half, least)
+            for probe in probes:
+                yield rows, key, probe, sections
 
 
+#: The lowest bit of a key marks those of halves.
+_HALF = U64(1)
 KEY_SCHEMA = "key bigint, line bigint, sketch bigint"
 
 
@@ -132,9 +163,8 @@ def _keys(batches: Iterator[pa.RecordBatch], tau: int, min_chars: int) -> Iterat
             name, once = np.unique(name, return_index=True)
             start, length, sketch = start[once], length[once], sketch[once]
             for probe, rows in ((U64(0), _index_rows(prefix, start, length, tau)), (U64(1), _probe_rows(prefix, start, length, tau, min_chars))):
-                parts += [(key, name[line] | probe, sketch[line]) for line, key in rows]
-            # Their sketches may differ in any number of bits; zeros always pass.
-            parts += [(key, name[line] | probe, np.zeros(len(line), U64)) for line, key, probe in _half_rows(prefix, start, length, tau)]
+                parts += [(key & ~_HALF, name[line] | probe, sketch[line]) for line, key in rows]
+            parts += [(key | _HALF, name[line] | probe, sections) for line, key, probe, sections in _half_rows(prefix, start, length, tau)]
         if parts:
             key, name, sketch = (np.concatenate(x) for x in zip(*parts))
             order = np.unique(mix(key) ^ name, return_index=True)[1]
@@ -142,7 +172,7 @@ def _keys(batches: Iterator[pa.RecordBatch], tau: int, min_chars: int) -> Iterat
 
 
 def _met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, flips: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of whole runs of equal keys: every index row with every probe row of another line, if their sketches are near."""
+    """Candidate pairs of whole runs of equal keys: every index row with every probe row of another line, if their sketches are near or they may differ in one stretch."""
 
     def runs(key: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -162,6 +192,7 @@ def _met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, flips: int) -> I
     run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
     order = np.lexsort((line & U64(1), run))
     line, sketch, run = line[order], sketch[order], run[order]
+    half = (key & _HALF) > 0  # alike in all rows of a run
     probe = np.flatnonzero(line & U64(1))
     n_index = np.bincount(run[(line & U64(1)) == 0], minlength=len(heads))
     count = n_index[run[probe]]
@@ -171,7 +202,7 @@ def _met(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, flips: int) -> I
         p = np.repeat(probe[own], count[own])
         i = np.repeat(heads[run[probe[own]]] - (before[own] - before[lo]), count[own]) + np.arange(len(p))
         a, b = line[p] & ~U64(1), line[i]
-        good = (np.bitwise_count(sketch[p] ^ sketch[i]) <= flips) & (a != b)
+        good = np.where(half[p], _one_change(sketch[p], sketch[i]), np.bitwise_count(sketch[p] ^ sketch[i]) <= flips) & (a != b)
         a, b = a[good].view(np.int64), b[good].view(np.int64)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])

@@ -15,7 +15,7 @@ from quillgraph.llm.ctw import CostTable
 from quillgraph.llm.decontam import Pieces, drop_contaminated
 from quillgraph.llm.licenses import license_spans
 from quillgraph.llm.license_templates import TEMPLATES
-from quillgraph.llm.linedup import STRETCH_CHARS, TAU, drop_duplicate_lines, duplicate_lines, one_stretch, within
+from quillgraph.llm.linedup import STRETCH_CHARS, TAU, _keys, _met, drop_duplicate_lines, duplicate_lines, one_stretch, within
 from quillgraph.llm.packing import pack
 from quillgraph.llm.simhash import BLOCKS, RADIUS, VantageTree, drop_near_duplicates, fingerprints, near_duplicates, near_links, near_pairs
 from quillgraph.llm.textkit import word_hashes
@@ -105,6 +105,33 @@ def test_drop_duplicate_lines_against_all(spark, lined, repeats):
         assert sorted(tuple(r) for r in drop_duplicate_lines(docs, broadcast_bytes=limit).collect()) == sorted(want)
 
 
+def test_changes_apart_end_in_the_merge():
+    """Lines that share a half but differ in changes apart from each other are no candidates; all that differ in one stretch are, at any place and length."""
+    rng = random.Random(37)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = [text(rng.randint(50, 700)) for _ in range(400)]
+    one, two = [], []
+    for x in base:
+        most = len(x) // 17
+        at, size = rng.randint(0, len(x) - most), rng.randint(0, most)
+        one.append(x[:at] + text(rng.randint(0, most)) + x[at + size :])
+        at = len(x) // 2 + 2
+        two.append(x[:at] + "QRSTUV" + x[at + 6 : at + len(x) // 3] + "ZYXWJK" + x[at + len(x) // 3 + 6 :])
+
+    def candidates(other):
+        batches = [pa.RecordBatch.from_pydict({"text": [line]}) for line in base + other]
+        key, line, sketch = (np.concatenate(x) for x in zip(*([b.column(c).to_numpy().view(np.uint64) for c in ("key", "line", "sketch")] for b in _keys(iter(batches), TAU, 20))))
+        order = np.argsort(key, kind="stable")
+        names = [int(next(_keys(iter([b]), TAU, 20)).column("line")[0].as_py()) & ~1 for b in batches]
+        met = _met(key[order], line[order], sketch[order], 4 * TAU)
+        pairs = {p for b in met for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+        return sum(tuple(sorted((x, y))) in pairs for x, y in zip(names, names[len(base) :])), len(pairs)
+
+    different = [i for i, (x, y) in enumerate(zip(base, one)) if x != y]
+    assert all(one_stretch(base, one)[i] for i in different) and candidates(one)[0] == len(different)
+    assert candidates(two)[1] < 100
+
+
 # --- licences
 
 

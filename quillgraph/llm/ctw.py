@@ -7,7 +7,8 @@ context with its longer ones, by how well they code the corpus. A document's sco
 The corpus enters as counts of (DEPTH + 1)-grams, gathered from all documents with a combiner in every task. From depth 2 on, the trees fall
 apart by the last two context bytes, so they are built in GROUPS independent groups of these; only sums by last context byte meet on the driver,
 255 for each at most. All bits of a position depend on its gram alone, so the model ends as one code length per gram. Up to
-BROADCAST_GRAMS that table is sent to the executors and looked up in place, beyond that it is joined with the documents' gram counts.
+BROADCAST_GRAMS that table is sent to the executors and looked up in place; a larger one is cut into parts of that size by hash, which are sent one after another,
+each for a pass over the texts that gives one number per document. So neither texts nor their grams are shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillgraph.llm.textkit import mix, raw, slices, text_column
-from quillgraph.storage import cut
+from quillgraph.storage import cut, remove, stored
 
 #: Longest context, in bytes; at most MAX_DEPTH, where a gram still fits a positive bigint.
 DEPTH = 5
@@ -30,6 +31,8 @@ GROUPS = 512
 COUNTED = 1 << 19
 #: Most grams in a table that is sent out; a worker's copy takes up to 32 bytes for each, and is built once.
 BROADCAST_GRAMS = 4_000_000
+#: Parts of a larger table have so many grams at least, as each is a pass over the texts.
+PART_GRAMS = 1 << 16
 
 _LOG2 = np.log(2.0)
 
@@ -208,13 +211,14 @@ class CostTable:
         return (mix(gram) >> self.shift).astype(np.int64)
 
     def of(self, gram: np.ndarray) -> np.ndarray:
-        """Bits of grams that are all in the table."""
+        """Bits of grams, zero for those that are not in the table."""
         slot = self._slot(gram)
-        wrong = np.flatnonzero(self.keys[slot] != gram)
+        wrong = np.flatnonzero((self.keys[slot] != gram) & (self.keys[slot] != self.FREE))
         while len(wrong):
             slot[wrong] = (slot[wrong] + 1) & (len(self.keys) - 1)
-            wrong = wrong[self.keys[slot[wrong]] != gram[wrong]]
-        return self.bits[slot].astype(float)
+            there = self.keys[slot[wrong]]
+            wrong = wrong[(there != gram[wrong]) & (there != self.FREE)]
+        return self.bits[slot].astype(float)  # a free slot has zero bits
 
 
 _built: tuple[object, CostTable] | None = None
@@ -230,27 +234,36 @@ def _table(shared) -> CostTable:
     return _built[1]
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared, depth: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], shared, depth: int, key: str) -> Iterator[pa.RecordBatch]:
+    """(key, n_bytes, bits): of each text, the bits of its grams that are in the table."""
     table = _table(shared)
     for batch in batches:
-        col, ids = text_column(batch), batch.column(batch.schema.get_field_index("doc_id"))
+        col, ids = text_column(batch), batch.column(batch.schema.get_field_index(key))
         for a, b in slices(col):
             data, off = raw(col.slice(a, b - a))
             sums = np.concatenate([[0.0], np.cumsum(table.of(gram_codes(data, off, depth)))])
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(off)), pa.array(sums[off[1:]] - sums[off[:-1]])], ["doc_id", "n_bytes", "bits"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(off)), pa.array(sums[off[1:]] - sums[off[:-1]])], [key, "n_bytes", "bits"])
 
 
-def _grams_of(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(row, gram, n): gram counts of every document; rows are numbered, so that repeated documents stay apart."""
-    for batch in batches:
-        col, row = text_column(batch), batch.column("row").to_numpy()
-        for a, b in slices(col):
-            data, off = raw(col.slice(a, b - a))
-            at = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            gram, own = np.unique(gram_codes(data, off, depth), return_inverse=True)
-            key, n = np.unique(at * len(gram) + own, return_counts=True)
-            at, own = np.divmod(key, max(1, len(gram)))
-            yield pa.RecordBatch.from_arrays([pa.array(row[a + at]), pa.array(gram[own].astype(np.int64)), pa.array(n)], ["row", "gram", "n"])
+def _sent(costs: DataFrame):
+    """A table of costs as a broadcast."""
+    table = costs.toArrow()
+    return costs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy().astype(np.uint64), table["bits"].to_numpy().astype(np.float32)))
+
+
+def _in_passes(texts: DataFrame, costs: DataFrame, depth: int, parts: int) -> DataFrame:
+    """(doc_id, n_bytes, bits) by so many parts of the table. Texts are stored once, compressed and with numbers, so that repeated documents stay apart."""
+    rows = stored(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    passes = None
+    for k in range(parts):
+        shared = _sent(costs.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k))
+        scored = cut(rows.select("row", "text").mapInArrow(lambda it: _score(it, shared, depth, "row"), "row bigint, n_bytes bigint, bits double"))
+        shared.destroy()
+        passes = scored if passes is None else passes.union(scored)
+    sums = cut(passes.groupBy("row").agg(F.max("n_bytes").alias("n_bytes"), F.sum("bits").alias("bits")))
+    out = cut(rows.select("row", "doc_id").join(sums, "row").select("doc_id", "n_bytes", "bits"))
+    remove(rows)
+    return out
 
 
 def code_lengths(docs: DataFrame, depth: int = DEPTH, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -264,13 +277,10 @@ def code_lengths(docs: DataFrame, depth: int = DEPTH, broadcast_grams: int = BRO
         raise ValueError(f"depth must be from 1 to {MAX_DEPTH}")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     costs = cut(gram_costs(texts, depth))
-    if costs.count() <= broadcast_grams:
-        table = costs.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy().astype(np.uint64), table["bits"].to_numpy().astype(np.float32)))
-        scored = texts.mapInArrow(lambda it: _score(it, shared, depth), "doc_id bigint, n_bytes bigint, bits double")
+    grams = costs.count()
+    if grams <= broadcast_grams:
+        shared = _sent(costs)
+        scored = texts.mapInArrow(lambda it: _score(it, shared, depth, "doc_id"), "doc_id bigint, n_bytes bigint, bits double")
     else:
-        rows = cut(texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "text", F.monotonically_increasing_id().alias("row")))
-        grams = rows.select("text", "row").mapInArrow(lambda it: _grams_of(it, depth), "row bigint, gram bigint, n bigint")
-        sums = grams.join(costs, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
-        scored = rows.select("doc_id", "n_bytes", "row").join(sums, "row", "left").select("doc_id", "n_bytes", F.coalesce("bits", F.lit(0.0)).alias("bits"))
+        scored = _in_passes(texts, costs, depth, max(2, -(-grams // max(PART_GRAMS, broadcast_grams))) if grams else 1)
     return scored.withColumn("bits_per_byte", F.try_divide("bits", "n_bytes"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_brute_force import distance
 
-from quillgraph.llm.ctw import CostTable
+from quillgraph.llm.ctw import CostTable, code_lengths
 from quillgraph.llm.decontam import Pieces, drop_contaminated
 from quillgraph.llm.licenses import license_spans
 from quillgraph.llm.license_templates import TEMPLATES
@@ -306,6 +306,17 @@ def test_cost_table():
     assert (table.of(gram[at]) == bits[at]).all() and table.of(gram[:1])[0] == bits[0]
 
 
+def test_large_model_in_passes(spark):
+    """A table beyond the bound is sent in parts, with the same bits as in one, without a shuffle of the documents' grams."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, "a"), (-1, ""), (-2, None)], DOC))
+    plain = lambda df: sorted((str(r.doc_id), r.n_bytes, round(r.bits, 4)) for r in df.collect())
+    passes = code_lengths(docs, broadcast_grams=1 << 16)
+    assert plain(passes) == plain(code_lengths(docs)) and "MapInArrow" not in passes._jdf.queryExecution().toString()
+    table = CostTable(np.arange(0, 1000, 2, dtype=np.uint64), np.ones(500, np.float32))
+    assert table.of(np.arange(1000, dtype=np.uint64)).tolist() == [1.0, 0.0] * 500
+
+
 def test_threshold():
     count = lambda *x: np.array(x)
     assert threshold(count(-2.0, 1.0), count(0, 9), count(5, 0)) == -0.5

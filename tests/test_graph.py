@@ -3,11 +3,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions import vectors as V
 from quillgraph.operators import graph as G
 from quillgraph.operators import ingest
 from quillgraph.operators.components import connected_components
 from quillgraph.operators.paths import all_paths, collect_paths, deduplicate_paths
-from quillgraph.operators.retrieve import Settings, nearest, propagate, retrieve, seeds, seeds_stateful, top_entities, vector_only
+from quillgraph.operators.retrieve import Settings, all_cosines, nearest, propagate, retrieve, seeds, seeds_stateful, top_entities, vector_only
 from quillgraph.storage import hinted, table_bytes
 
 # a-b both ways, a loop, c without a vector, f far off
@@ -94,6 +95,33 @@ def test_nearest_against_all(spark):
     assert not {"none", "zero"} & {r.qid for r in got}
 
 
+def test_all_cosines(spark, monkeypatch):
+    """Every pair, null ones too, digit by digit as by expressions, whatever the sizes of groups, tasks and blocks."""
+    rng = random.Random(5)
+    odd = [None, [0.0] * 6, [], [1.0] * 3, [0.5, -1.0, 2.0], [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] + [1.0] * 5, [float("inf")] + [1.0] * 5, [1e-200] * 6]
+    some = lambda n: [[rng.gauss(0, 1) for _ in range(6)] for _ in range(n)] + odd
+    entities = spark.createDataFrame([(f"n{i}", v) for i, v in enumerate(some(40))], "name string, description_embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", v, i) for i, v in enumerate(some(12))], "qid string, embedding array<double>, kept int")
+    want = sorted(repr(tuple(r)) for r in entities.crossJoin(asked).select("qid", "kept", "name", F.round(V.cosine("description_embedding", "embedding"), 6)).collect())
+    assert sorted(repr(tuple(r)) for r in all_cosines(asked, entities, 6).collect()) == want and len(want) == 49 * 21
+    import quillgraph.operators.retrieve as R
+
+    for name, n in (("QUERY_ROWS", 8), ("TASK_PAIRS", 100), ("HELD_PAIRS", 40)):
+        monkeypatch.setattr(R, name, n)
+    assert sorted(repr(tuple(r)) for r in all_cosines(asked, entities, 6).collect()) == want
+    assert all_cosines(asked.limit(0), entities, 6).count() == 0 == all_cosines(asked, entities.limit(0), 6).count()
+
+
+def test_cosine_scores_are_spread(spark, monkeypatch):
+    """The query's tasks follow the pairs, not the files of the vectors: 500 entities and 5 questions, 500 pairs a task."""
+    import quillgraph.operators.retrieve as R
+    from quillgraph.plans.catalogue import QUERIES
+
+    monkeypatch.setattr(R, "TASK_PAIRS", 500, raising=False)
+    got = QUERIES["cosine_scores"](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()
+    assert len(got) == 5 and sum(r["count"] for r in got) == 2500 and max(r["count"] for r in got) <= 1000
+
+
 def plain_paths(state, start):
     links = [(s, d, r, True) for s, d, r in EDGES if s != d] + [(d, s, r, False) for s, d, r in EDGES if s != d]
     out, walk = [], [([n], [], state[n]) for n in start if n in state]

@@ -1,4 +1,9 @@
+import os
+import socket
 import sys
+import tempfile
+import time
+from dataclasses import replace
 
 import pytest
 from pyspark import cloudpickle
@@ -7,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph import AblationEvaluator, AnswerAgent, GraphLoader, Retriever, Settings
 from quillgraph import models as M
 from quillgraph.operators import evaluate, ingest, resolve
+from quillgraph.permits import permits
 from quillgraph.sources import qa
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the models below go to workers that can't import this file
@@ -84,6 +90,60 @@ def test_failed_rows_are_left_out(spark):
     assert got == {"a Omega": (None, "no answer", None), "b": ("x", None, 3)}
 
 
+class Crowded:
+    """Fails where more than most calls are at work, counted by files."""
+
+    def __init__(self, folder, most):
+        self.folder, self.most = folder, most
+
+    def embed(self, text):
+        with tempfile.NamedTemporaryFile(dir=self.folder):
+            time.sleep(0.02)
+            if len(os.listdir(self.folder)) > self.most:
+                raise RuntimeError("too many at once")
+        return [float(len(text))]
+
+
+def test_calls_at_once_are_bounded_apart_from_partitions(spark, tmp_path):
+    texts = spark.createDataFrame([("x" * i,) for i in range(1, 61)], "text string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = M.embed(texts, Crowded(str(tmp_path), 2), 2).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert sorted(r.embedding[0] for r in got) == [float(i) for i in range(1, 61)]
+    assert len({r.part for r in got}) == 12 and all(len([r for r in got if r.part == p]) <= 10 for p in range(12))
+    with pytest.raises(Exception, match="too many at once"):
+        M.embed(texts, Crowded(str(tmp_path), 2), 4).collect()
+
+
+def test_permits(spark):
+    """A permit comes back when it is given back, after an error and from a lost connection; a wrong key gets none."""
+    p = permits(spark, 1)
+    with p.asked() as held:
+        with held():
+            pass
+        with pytest.raises(ZeroDivisionError), held():
+            1 / 0
+        with held():
+            pass
+    lost = socket.create_connection((p.host, p.port))
+    lost.sendall(p.key + b"?")
+    assert lost.recv(1) == b"!"
+    waiting = socket.create_connection((p.host, p.port))
+    waiting.sendall(p.key + b"?")
+    waiting.settimeout(0.5)
+    with pytest.raises(TimeoutError):
+        waiting.recv(1)
+    lost.close()
+    waiting.settimeout(30)
+    assert waiting.recv(1) == b"!"
+    waiting.close()
+    with replace(p, key=bytes(32)).asked() as held, pytest.raises(OSError), held():
+        pass
+
+
 def test_retries():
     calls, waits = [], []
 
